@@ -77,11 +77,16 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch of texts: byte spans, 64-bit hashes and the range of words of each row."""
+    """Words of a batch of texts: byte spans, 64-bit hashes and the range of words of each row.
 
-    def __init__(self, col: pa.Array):
+    prefixes: lengths in bytes; prefix[k] holds the hash of each word's first bytes, of the whole word if it is shorter.
+    """
+
+    def __init__(self, col: pa.Array, prefixes: tuple[int, ...] = ()):
         self.raw, self.rows = text_buffer(col)
+        self.prefixes = prefixes
         starts, ends, hashes = [], [], []
+        heads: dict[int, list[np.ndarray]] = {k: [] for k in prefixes}
         at, n = 0, len(self.raw)
         edges = self.rows
         while at < n:
@@ -95,16 +100,19 @@ class Words:
                     to = int(cut)
                     break
                 to = stop
-            s, e, h = self._part(at, to, edges)
+            s, e, h, more = self._part(at, to, edges)
+            for k, x in zip(prefixes, more, strict=True):
+                heads[k].append(x)
             starts.append(s)
             ends.append(e)
             hashes.append(h)
             at = to
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.starts, self.ends, self.hashes = cat(starts, np.int64), cat(ends, np.int64), cat(hashes, np.uint64)
+        self.prefix = {k: cat(v, np.uint64) for k, v in heads.items()}
         self.of_row = np.searchsorted(self.starts, self.rows)
 
-    def _part(self, at: int, to: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _part(self, at: int, to: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         raw = self.raw[at:to]
         word = np.zeros(len(raw) + 2, bool)
         word[1:-1] = IS_WORD[raw]
@@ -121,7 +129,8 @@ class Words:
         np.multiply.accumulate(back, out=back)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        return s + at, e + at, mix((total[e] - total[s]) * back[s])
+        upto = lambda end: mix((total[end] - total[s]) * back[s])
+        return s + at, e + at, upto(e), [upto(np.minimum(s + k, e)) for k in self.prefixes]
 
     def row(self, i: int) -> np.ndarray:
         return self.hashes[self.of_row[i] : self.of_row[i + 1]]

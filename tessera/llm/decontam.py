@@ -243,9 +243,11 @@ def decontaminated(docs: DataFrame, items: DataFrame, longest: int | None = None
     Rows keep their text if nothing is cut; a null text stays.
     """
     names = docs.columns
-    kept = judged(overlaps(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), items), part).where("not contaminated")
+    own = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(names)}  # so that no name clashes
+    kept = judged(overlaps(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()]), items), part).where("not contaminated")
+    back = [F.col(a).alias(c) for c, a in own.items()]
     if longest is None:
-        return kept.select("_row.*")
+        return kept.select(*back)
 
     @F.pandas_udf("string")
     def without(texts, spans):  # noqa: ANN001
@@ -253,7 +255,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, longest: int | None = None
 
         return pd.Series([t if t is None or not (x := [(y["start"], y["end"]) for y in s if y["end"] - y["start"] > longest]) else cut(t, x) for t, s in zip(texts, spans, strict=True)])
 
-    return kept.withColumn("_row", F.col("_row").withField("text", without("text", "spans"))).select("_row.*")
+    return kept.withColumn("text", without("text", "spans")).select(*back)
 
 
 def sha256_of(items: Iterable[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, tokenfile, topk
+from . import decontam, lines, minhash, mixing, pages, passages, quality, tokenfile, topk, toxicity
 from .common import load
 
 
@@ -18,6 +18,29 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    return quality.classified(docs, quality.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decisions(load(spark, sf_dir, "documents"))
+
+
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(load(spark, sf_dir, "documents"))
+
+
+def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    return toxicity.classified(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extracted(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")
     return decontam.judged(decontam.overlaps(docs, items)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,7 +65,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_dart_minhash, op4_decontamination, op6_curriculum_mix, op9_token_files, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk)}
 
 
 _OP4 = r"""

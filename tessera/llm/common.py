@@ -76,6 +76,45 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """64-bit hashes of byte spans in ascending order, and of their first bytes, of each length in prefixes.
+
+    A polynomial of the bytes, as a difference of running sums; spans are taken some megabyte at a time.
+    """
+    out = np.zeros((1 + len(prefixes), len(starts)), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, "right")))
+        at = starts[lo]
+        s, e = starts[lo:hi] - at, ends[lo:hi] - at
+        part = raw[at : ends[hi - 1]]
+        power, back = _powers(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+        for i, to in enumerate((e, *(np.minimum(s + k, e) for k in prefixes))):
+            out[i, lo:hi] = mix((total[to] - total[s]) * back[s])
+        lo = hi
+    return list(out)
+
+
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if n > len(_held[0]):
+        for i, x in enumerate((_P, _P_INV)):
+            p = np.full(n, x)
+            p[0] = 1
+            whole = np.multiply.accumulate(p)
+            if n > 4 * _CHUNK:  # a very long span's powers aren't kept
+                if i:
+                    return [first, whole]
+                first = whole
+            else:
+                _held[i] = whole
+    return [p[:n] for p in _held]
+
+
 class Words:
     """Words of a batch of texts: byte spans, 64-bit hashes and the range of words of each row.
 
@@ -83,54 +122,18 @@ class Words:
     """
 
     def __init__(self, col: pa.Array, prefixes: tuple[int, ...] = ()):
-        self.raw, self.rows = text_buffer(col)
-        self.prefixes = prefixes
-        starts, ends, hashes = [], [], []
-        heads: dict[int, list[np.ndarray]] = {k: [] for k in prefixes}
-        at, n = 0, len(self.raw)
-        edges = self.rows
-        while at < n:
-            to = min(at + _CHUNK, n)
-            while to < n:  # ends at a row's start or after a byte that is no word's
-                stop = min(to + _CHUNK, n)
-                gap = np.flatnonzero(~IS_WORD[self.raw[to:stop]])
-                row = edges[np.searchsorted(edges, to) :][:1]
-                cut = min([stop if stop == n else n + 1, *(to + gap[:1]), *row])
-                if cut <= n:
-                    to = int(cut)
-                    break
-                to = stop
-            s, e, h, more = self._part(at, to, edges)
-            for k, x in zip(prefixes, more, strict=True):
-                heads[k].append(x)
-            starts.append(s)
-            ends.append(e)
-            hashes.append(h)
-            at = to
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.starts, self.ends, self.hashes = cat(starts, np.int64), cat(ends, np.int64), cat(hashes, np.uint64)
-        self.prefix = {k: cat(v, np.uint64) for k, v in heads.items()}
-        self.of_row = np.searchsorted(self.starts, self.rows)
-
-    def _part(self, at: int, to: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        raw = self.raw[at:to]
+        raw, self.rows = text_buffer(col)
+        self.raw = raw
         word = np.zeros(len(raw) + 2, bool)
         word[1:-1] = IS_WORD[raw]
-        first = word[1:-1] & ~word[:-2]
-        last = word[1:-1] & ~word[2:]
-        inner = edges[np.searchsorted(edges, at, "right") : np.searchsorted(edges, to)] - at
-        first[inner] = word[1:-1][inner]
-        last[inner - 1] = word[1:-1][inner - 1]
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power = np.full(len(raw), _P)
-        back = np.full(len(raw), _P_INV)
-        power[:1] = back[:1] = 1
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(back, out=back)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        upto = lambda end: mix((total[end] - total[s]) * back[s])
-        return s + at, e + at, upto(e), [upto(np.minimum(s + k, e)) for k in self.prefixes]
+        first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+        inner = np.unique(self.rows)
+        inner = inner[(inner > 0) & (inner < len(raw))]
+        first[inner], last[inner - 1] = word[1:-1][inner], word[1:-1][inner - 1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.hashes, *more = span_hashes(LOWER[raw], self.starts, self.ends, prefixes)
+        self.prefix = dict(zip(prefixes, more, strict=True))
+        self.of_row = np.searchsorted(self.starts, self.rows)
 
     def row(self, i: int) -> np.ndarray:
         return self.hashes[self.of_row[i] : self.of_row[i + 1]]

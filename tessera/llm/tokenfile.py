@@ -2,77 +2,137 @@
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, small_batches
+from .common import batches, shared_dir, small_batches, span_hashes, text_buffer
 
 END_ID = 2
 #: Parquet writer: version 2 pages and no dictionary give DELTA_BINARY_PACKED ids; column and offset indexes are always written.
-WRITER = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000"}
+WRITER = {"compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000"}
 _SCHEMA = "doc_id long, n_tokens long, ids array<int>"
-_AMBIGUOUS = re.compile(r"\s | \s")
+#: Kinds of bytes: control characters and spaces, printed ASCII other than letters, letters, and beyond ASCII.
+_LETTER, _PRINTED, _BEYOND = 2, 1, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _PRINTED
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x80:] = _BEYOND
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE file of the tokenizers library.
+    """Encodes texts with a byte-level BPE file of the tokenizers library, each different piece of text once.
 
-    Such a tokenizer never merges over the boundary before a single space between non-space
-    characters, so a text is the concatenation of its space-started pieces. Each different piece is
-    encoded once by the library and kept (up to a bound); texts with other white space next to a space
-    are encoded whole.
+    The tokenizer's pattern always begins a new token after an ASCII letter that something else in
+    ASCII follows, before a space that a printable ASCII character follows, and after a line feed
+    between a printable ASCII character and an ASCII letter. Texts are cut there, so that the ids of a text are those of its pieces. The
+    library encodes pieces that are new; their ids are kept by 64-bit hash in a table of a fixed size,
+    which is emptied when it is half full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    BITS = 21
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.size = 0
-
-    def _learn(self, held: dict[str, int], parts: set[str], lead: str) -> None:
-        new = list(parts)
-        for part, e in zip(new, self.tokenizer.encode_batch([lead + x for x in new], add_special_tokens=False), strict=True):
-            held[part] = len(self.ids)
-            self.ids.append(np.asarray(e.ids, np.int32))
-            self.size += len(e.ids) + 16
-
-    def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the offsets of each text's ids in them; end_id follows each text."""
-        if self.size > 8 * self.most:
-            self._clear()
-        split: list[list[str] | None] = []
-        for t in texts:
-            split.append((t.split(" ") if t else []) if not t or not _AMBIGUOUS.search(t) else None)
-        first = {p[0] for p in split if p} - self.first.keys()
-        rest = set().union(*(p[1:] for p in split if p)) - self.rest.keys()
-        if first:
-            self._learn(self.first, first, "")
-        if rest:
-            self._learn(self.rest, rest, " ")
-        out, offsets = [], np.zeros(len(texts) + 1, np.int64)
-        end = np.array([] if end_id is None else [end_id], np.int32)
-        for i, (t, p) in enumerate(zip(texts, split, strict=True)):
-            if p is None:
-                made = [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)]
-            else:
-                made = [self.ids[self.first[x]] for x in p[:1]] + [self.ids[k] for k in map(self.rest.__getitem__, p[1:])]
-            made.append(end)
-            out.append(np.concatenate(made))
-            offsets[i + 1] = offsets[i] + len(out[-1])
-        return np.concatenate(out) if out else np.zeros(0, np.int32), offsets
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.places = np.zeros(1 << self.BITS, np.int32)
+        self.ids = np.zeros(1 << 20, np.int32)
+        self.starts = np.zeros((1 << (self.BITS - 1)) + 2, np.int64)
+        self.n = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place among the pieces, -1 if it is new."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            held = self.keys[slot[todo]]
+            same = held == h[todo]
+            out[todo[same]] = self.places[slot[todo[same]]]
+            todo = todo[~same & (held != 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces, whose hashes differ and are new."""
+        todo = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot[todo]] == 0
+            _, first = np.unique(slot[todo], return_index=True)
+            mine = np.zeros(len(todo), bool)
+            mine[first] = True
+            mine &= free
+            self.keys[slot[todo[mine]]] = h[todo[mine]]
+            self.places[slot[todo[mine]]] = self.n + todo[mine]
+            todo = todo[~mine]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+        for lo in range(0, len(pieces), 2048):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + 2048], add_special_tokens=False)]
+            ends = self.starts[self.n] + np.cumsum([len(x) for x in made])
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.starts[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(made), np.int32)
+            self.starts[self.n + 1 : self.n + 1 + len(made)] = ends
+            self.n += len(made)
+
+    def _cut(self, raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        kind = _KIND[raw]
+        before, here = kind[:-1], kind[1:]
+        edge = np.zeros(len(raw), bool)
+        edge[1:] = (before == _LETTER) & (here != _LETTER) & (here != _BEYOND)
+        edge[2:] |= (raw[1:-1] == 0x0A) & (here[1:] == _LETTER) & ((before[:-1] == _LETTER) | (before[:-1] == _PRINTED))
+        edge[:-1] |= (raw[:-1] == 0x20) & ((here == _LETTER) | (here == _PRINTED))
+        edge[rows[:-1][rows[:-1] < len(raw)]] = True
+        return np.flatnonzero(edge)
+
+    def encode(self, col: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column, and the offsets of each row's ids in them; end_id follows each row."""
+        raw, rows = text_buffer(col)
+        starts = self._cut(raw, rows) if len(raw) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        parts, sizes = [], np.zeros(len(starts), np.int64)
+        most = 1 << (self.BITS - 2)  # so that the table holds all new pieces of a part
+        for lo in range(0, len(starts), most):
+            hi = min(lo + most, len(starts))
+            got, sizes[lo:hi] = self._encode(raw, starts[lo:hi], ends[lo:hi])
+            parts.append(got)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, rows)]
+        if end_id is not None:
+            ids = np.insert(ids, upto[1:], end_id)
+            upto = upto + np.arange(len(upto))
+        return ids, upto
+
+    def _encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (h,) = span_hashes(raw, starts, ends)
+        h[h == 0] = 1
+        at = self._find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own, first = np.unique(h[new], return_index=True)
+            if self.n + len(own) > 1 << (self.BITS - 1):
+                self._clear()
+                own, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            first = new[first]
+            self._learn(own, [raw[a:b].tobytes().decode() for a, b in zip(starts[first], ends[first], strict=True)])
+            at[new] = self._find(h[new])
+        size = self.starts[at + 1] - self.starts[at]
+        total = np.cumsum(size)
+        return self.ids[np.repeat(self.starts[at] - total + size, size) + np.arange(total[-1])], size
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID) -> None:
@@ -86,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     def encode(batch: pa.RecordBatch) -> list:
         if not held:
             held[tokenizer_path] = Encoder(tokenizer_path)
-        ids, offsets = held[tokenizer_path].encode(batch.column("text").to_pylist(), end_id)
+        ids, offsets = held[tokenizer_path].encode(batch.column("text"), end_id)
         return [batch.column("doc_id"), np.diff(offsets), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])

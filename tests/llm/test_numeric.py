@@ -104,9 +104,18 @@ def test_encoder_equals_library(bpe):
     plain.encode_special_tokens = True
     odd = [None, "", " ", "  a", "a  b", "a \n b", "a\t b ", " x", "\n\n x", "é  y", "　 z", "a  b", "it's we'll <|endoftext|> done", "12 345  6", "日本 語 text", "a​ b", " ", "a \x1c b", "x\x85 y"]
     texts = odd + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()
-    ids, at = tokenfile.Encoder(bpe).encode(texts)
+    rng = np.random.default_rng(1)
+    texts += ["".join(rng.choice(list("ab's \n\t.,1-\u00a0\u3000\u2014\u00e9\u200b\r I'LLre"), 30)) for _ in range(3000)]
+    ids, at = tokenfile.Encoder(bpe).encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+    small = tokenfile.Encoder(bpe)
+    small.BITS = 12  # emptied again and again
+    small._clear()
+    for lo in range(0, len(texts), 20):
+        part, offsets = small.encode(pa.array(texts[lo : lo + 20]))
+        assert part.tolist() == ids[at[lo] : at[min(lo + 20, len(texts))]].tolist() and len(offsets) == len(texts[lo : lo + 20]) + 1
+    assert [x.tolist() for x in small.encode(pa.array([], pa.string()))] == [[], [0]]
 
 
 def test_token_files(spark, bpe, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,7 @@ class Encoder:
     which is emptied when it is half full.
     """
 
-    BITS = 21
+    BITS = 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -135,18 +136,21 @@ class Encoder:
         return self.ids[np.repeat(self.starts[at] - total + size, size) + np.arange(total[-1])], size
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves one task after another."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID) -> None:
     """Writes (doc_id, n_tokens, ids) in ascending doc_id order, file after file: a range shuffle, then a sort in each file.
 
     A null text is empty (its end id alone); a null doc_id comes first; rows of equal doc_id stand in order of their text.
     """
     small_batches(docs.sparkSession)
-    held: dict[str, Encoder] = {}
 
     def encode(batch: pa.RecordBatch) -> list:
-        if not held:
-            held[tokenizer_path] = Encoder(tokenizer_path)
-        ids, offsets = held[tokenizer_path].encode(batch.column("text"), end_id)
+        ids, offsets = _encoder(tokenizer_path).encode(batch.column("text"), end_id)
         return [batch.column("doc_id"), np.diff(offsets), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -162,9 +166,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """rows of read_tokens with start, the ids of all rows before: sums of whole files, then of a file's rows."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
+def with_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """rows of read_tokens with start, the ids of all rows before: sums of whole files (of sizes, or rows itself), then of a file's rows."""
+    files = (rows if sizes is None else sizes).groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("_n").over(before(Window.orderBy("file"))), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("file").orderBy("row"))), F.lit(0))
@@ -182,7 +186,7 @@ def digest(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("file", pa.int64()), ("row", pa.int64())])
     small_batches(rows.sparkSession)
     found = rows.select("doc_id", "ids", "file", "row").mapInArrow(batches(crc, schema), "doc_id long, n_tokens long, ids_crc32 long, file long, row long")
-    return with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(found, rows.select("file", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -13,8 +13,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Coordinates of a signature: BANDS bands of ROWS. At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 24, 3e-6.
 ROWS, BANDS = 4, 24
-#: Pairs whose signatures agree in a smaller share aren't checked: at similarity 0.8 that is 7 standard deviations off.
-LEAST_AGREEMENT = 0.5
+#: Pairs whose signatures agree in a smaller share aren't checked: at similarity 0.8 that is over 5 standard deviations off.
+LEAST_AGREEMENT = 0.58
+#: Documents whose ids are broadcast at most, to read only their texts; more are joined.
+BROADCAST_IDS = 2_000_000
 #: Height of the lowest rank region; region l > 0 spans ranks LOWEST * 2 ** (l - 1) to LOWEST * 2 ** l.
 _LOW_BITS = 10
 #: Cumulative probabilities of the number of darts in a region of area 1.
@@ -171,8 +173,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             made.append(both / (len(x) + len(y) - both))
         return [batch.column("a"), batch.column("b"), made]
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
+    few = needed.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     own = stored(texts.mapInArrow(batches(cut, sets), "rep long, own binary"), "shingles")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("own").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(batches(compare, out), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
@@ -187,7 +190,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     key: rows that repeat one are the same document, and null ids have null classes.
 
     One text of each group of copies goes on. In each band's bucket every text is first checked against
-    the least one, which joins most of a large group by as many pairs as it has members. Then texts of
+    the one that shares most buckets with others, as a rule the original of its copies, which joins most
+    of a large group by as many pairs as it has members. Then texts of
     a bucket that are in different components still are checked against each other: nearly none in a
     bucket of copies, and no link between different texts is lost. All pairs pass through agreement of
     signatures and an exact check.
@@ -199,9 +203,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     width = 4 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), 1 + i * width, F.lit(width))))
     buckets = stored(first.select("rep", F.explode(bands).alias("bucket")), "buckets")
-    hubs = stored(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    shared = stored(buckets.join(hubs, "bucket").select("bucket", "hub", "rep"), "shared")
-    star = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    crowds = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    crowded = stored(buckets.join(crowds, "bucket"), "crowded")
+    degrees = crowded.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = crowded.join(stored(degrees, "degrees"), "rep")
+    hubs = stored(ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub")), "hubs")
+    shared = stored(crowded.join(hubs, "bucket").select("bucket", "hub", "rep"), "shared")
+    star = shared.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = stored(_checked(stored(_agreeing(star, first), "pairs"), docs, similarity), "links")
     joined = components(links)
     named = shared.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("class_id", "rep").alias("part"))

@@ -10,8 +10,6 @@ from .common import stored
 EDITS = 2
 #: Lines of fewer characters are only compared exactly.
 LEAST_CHARS = 20
-#: Each letter's count parity is a bit of a line's mask; an edit flips two bits at most.
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TOP = 31
 _MASK = (1 << (_TOP + 1)) - 1
 
@@ -47,7 +45,7 @@ def _offsets(edits: int) -> list[tuple[int, int, int]]:
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is `edits` or less: banded bit-parallel, one step for each character of b.
 
-    a and b differ in length by `edits` at most and have more than `edits` characters. Bit _TOP of the
+    a and b differ in length by `edits` at most and aren't empty. Bit _TOP of the
     vertical difference vectors is the row `edits` below the diagonal, and the band moves along the
     diagonal with each step; rows off the band count as mismatches, which no alignment within the limit
     would use. The score follows the lower edge of the band, then a's last row.
@@ -81,14 +79,38 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         return let(same, from_match)
 
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << (_TOP - edits)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("long").alias("score"))
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << (_TOP - edits)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(m, F.lit(edits)).cast("long").alias("score"))
     return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, step)["score"] <= edits
 
 
-def _parities(line: Column) -> Column:
-    low = F.lower(line)
-    size = F.octet_length(low)
-    return sum((F.shiftleft(((size - F.octet_length(F.replace(low, F.lit(c), F.lit("")))) % 2).cast("long"), k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
+def _parities(lines: DataFrame) -> DataFrame:
+    """(id, mask): bit c of mask says whether characters of class c, their code mod 64, are odd in number; an edit flips two bits at most."""
+    chars = lines.select("id", F.explode(F.split("line", "")).alias("c"))
+    return chars.groupBy("id").agg(F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii("c") % 64)).alias("mask"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common beginning: a binary search over substrings."""
+    n = F.least(F.length(a), F.length(b))
+    longer = lambda p, s: (p + s <= n) & (F.substring(a, F.lit(1), p + s) == F.substring(b, F.lit(1), p + s))
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda p, s: F.when(longer(p, s), p + s).otherwise(p))
+
+
+def verified(pairs: DataFrame, edits: int) -> DataFrame:
+    """The (x, y, a, b) rows whose strings a and b are within the edits.
+
+    Equal beginnings and ends never need an edit, so only what stands between is compared. With two
+    edits, one is then spent on each end: the inner part of one string must be in the other.
+    """
+    cut = pairs.where(F.abs(F.length("a") - F.length("b")) <= edits).withColumn("p", _common(F.col("a"), F.col("b")))
+    tail = lambda c: F.substring(c, F.col("p") + 1, F.length(c))
+    cut = cut.select("x", "y", tail("a").alias("a"), tail("b").alias("b"))
+    cut = cut.withColumn("p", _common(F.reverse("a"), F.reverse("b")))
+    head = lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("p"))
+    cut = cut.select("x", "y", head("a").alias("a"), head("b").alias("b"))
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    inner = F.contains("b", F.substring("a", F.lit(2), F.greatest(F.length("a") - 2, F.lit(0)))) if edits == 2 else F.lit(True)
+    return cut.where(F.when(long <= edits, True).when((short > 0) & inner, within(F.col("a"), F.col("b"), edits)).otherwise(False)).select("x", "y")
 
 
 def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -99,9 +121,10 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
     length and segment number, and probes it with the substrings of _offsets for each shorter length. An
     equi-join on the hash of segment number, length and string finds the candidates; a frequent segment
     is a skewed key, which adaptive execution splits. The join already drops candidates whose masks
-    differ in more than 2 * edits letters. Hash collisions only add candidates; `within` decides.
+    differ in more than 2 * edits bits. Hash collisions only add candidates; `within` decides.
     """
-    long = distinct.where(F.length("line") >= max(least, 2 * edits + 2)).withColumn("mask", _parities(F.col("line"))).withColumn("n", F.length("line"))
+    long = distinct.where(F.length("line") >= max(least, 2 * edits + 2)).withColumn("n", F.length("line"))
+    long = stored(long.join(_parities(long), "id"), "masked")
     own, probe = [], []
     for i in range(edits + 1):
         at, size = _segment(F.col("n"), i, edits)
@@ -116,7 +139,7 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
     pairs = stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
     text = distinct.select("id", "line")
     both = pairs.join(text.select(F.col("id").alias("x"), F.col("line").alias("a")), "x").join(text.select(F.col("id").alias("y"), F.col("line").alias("b")), "y")
-    return both.where(F.abs(F.length("a") - F.length("b")) <= edits).where(within(F.col("a"), F.col("b"), edits)).select("x", "y")
+    return verified(both, edits)
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:

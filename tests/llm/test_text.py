@@ -33,12 +33,16 @@ def test_bit_parallel_distance(spark, edits):
     r = random.Random(edits)
     pairs = []
     while len(pairs) < 300:
-        a = "".join(r.choice("abcé") for _ in range(r.randrange(8, 40)))
-        b = edited(r, a, r.randrange(0, edits + 3))
-        if abs(len(a) - len(b)) <= edits and len(b) > edits:
+        a = "".join(r.choice("abcé") for _ in range(r.choice([1, 2, 3, 4, r.randrange(8, 40)])))
+        b = a
+        for _ in range(r.randrange(0, edits + 3)):
+            b = edited(r, b, 1) if b else "a"
+        if abs(len(a) - len(b)) <= edits and b:
             pairs.append((a, b))
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.within(F.col("a"), F.col("b"), edits).alias("near")).collect()
     assert all(x["near"] == (distance(x["a"], x["b"]) <= edits) for x in got) and {x["near"] for x in got} == {True, False}
+    rows = spark.createDataFrame([(i, -i, a, b) for i, (a, b) in enumerate(pairs)], "x long, y long, a string, b string")
+    assert {x["x"] for x in lines.verified(rows, edits).collect()} == {i for i, (a, b) in enumerate(pairs) if distance(a, b) <= edits}
 
 
 def brute_lines(rows, edits=2, least=20):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +15,17 @@ EDITS = 2
 LEAST_CHARS = 20
 _TOP = 31
 _MASK = (1 << (_TOP + 1)) - 1
+_SPACE = "\t\n\v\f\r "
+#: Letters that are counted to tell lines apart.
+_LETTERS = "aeinorstl"
+#: Lines whose ids are broadcast at most, to read only their texts; more are joined.
+BROADCAST_IDS = 2_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 0, line) of lines that aren't blank, without white space around them."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.withColumn("line", F.regexp_replace("line", r"^[\t-\r ]+|[\t-\r ]+$", "")).where("line <> ''")
+    return split.withColumn("line", F.trim("line", F.lit(_SPACE))).where("line <> ''")
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -42,6 +50,11 @@ def _offsets(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once: columns that a filter repeats are else worked out at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is `edits` or less: banded bit-parallel, one step for each character of b.
 
@@ -50,10 +63,13 @@ def within(a: Column, b: Column, edits: int) -> Column:
     diagonal with each step; rows off the band count as mismatches, which no alignment within the limit
     would use. The score follows the lower edge of the band, then a's last row.
     """
-    x, y = F.split(a, ""), F.split(b, "")
-    m = F.length(a)
+    split = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("m"))
+    return _let(split, lambda s: _distance(s["x"], s["y"], s["m"], edits)) <= edits
+
+
+def _distance(x: Column, y: Column, m: Column, edits: int) -> Column:
+    """The distance of two arrays of characters, as far as it is within the edits. m: the size of x."""
     inv = lambda v: v.bitwiseXOR(F.lit(_MASK))
-    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
 
     def step(s: Column, i: Column) -> Column:
         vp, vn, score = s["vp"], s["vn"], s["score"]
@@ -73,20 +89,29 @@ def within(a: Column, b: Column, edits: int) -> Column:
                     more = F.when(i < m - edits, F.lit(1) - F.shiftrightunsigned(d, _TOP).bitwiseAND(F.lit(1))).otherwise(F.call_function("shiftrightunsigned", h["hp"], k).bitwiseAND(F.lit(1)) - F.call_function("shiftrightunsigned", h["hn"], k).bitwiseAND(F.lit(1)))
                     return F.struct(h["hn"].bitwiseOR(inv(half.bitwiseOR(h["hp"]))).alias("vp"), half.bitwiseAND(h["hp"]).alias("vn"), (score + more).cast("long").alias("score"))
 
-                return let(F.struct(hp.alias("hp"), hn.alias("hn")), done)
+                return _let(F.struct(hp.alias("hp"), hn.alias("hn")), done)
 
-            return let(d0, from_d0)
+            return _let(d0, from_d0)
 
-        return let(same, from_match)
+        return _let(same, from_match)
 
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << (_TOP - edits)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(m, F.lit(edits)).cast("long").alias("score"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, step)["score"] <= edits
+    return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, step)["score"]
 
 
-def _parities(lines: DataFrame) -> DataFrame:
-    """(id, mask): bit c of mask says whether characters of class c, their code mod 64, are odd in number; an edit flips two bits at most."""
-    chars = lines.select("id", F.explode(F.split("line", "")).alias("c"))
-    return chars.groupBy("id").agg(F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii("c") % 64)).alias("mask"))
+def _counts(line: Column) -> Column:
+    """How often each of _LETTERS occurs, 7 bits each and at most 127; an edit changes two of them by one at most."""
+    packed = F.lit(0).cast("long")
+    for k, c in enumerate(_LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * k))
+    return packed
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The sum of the differences of two values of _counts."""
+    part = lambda c, k: F.shiftright(c, 7 * k).bitwiseAND(F.lit(127))
+    return reduce(Column.__add__, [F.abs(part(a, k) - part(b, k)) for k in range(len(_LETTERS))])
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -97,20 +122,24 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The (x, y, a, b) rows whose strings a and b are within the edits.
+    """The (x, y) of rows (x, y, a, b) whose strings a and b are within the edits.
 
     Equal beginnings and ends never need an edit, so only what stands between is compared. With two
     edits, one is then spent on each end: the inner part of one string must be in the other.
     """
-    cut = pairs.where(F.abs(F.length("a") - F.length("b")) <= edits).withColumn("p", _common(F.col("a"), F.col("b")))
-    tail = lambda c: F.substring(c, F.col("p") + 1, F.length(c))
-    cut = cut.select("x", "y", tail("a").alias("a"), tail("b").alias("b"))
-    cut = cut.withColumn("p", _common(F.reverse("a"), F.reverse("b")))
-    head = lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("p"))
-    cut = cut.select("x", "y", head("a").alias("a"), head("b").alias("b"))
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    inner = F.contains("b", F.substring("a", F.lit(2), F.greatest(F.length("a") - 2, F.lit(0)))) if edits == 2 else F.lit(True)
-    return cut.where(F.when(long <= edits, True).when((short > 0) & inner, within(F.col("a"), F.col("b"), edits)).otherwise(False)).select("x", "y")
+    two = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    rest = lambda c, p: F.substring(c, p + 1, F.length(c))
+    beyond = lambda s: _let(_common(s["a"], s["b"]), lambda p: two(rest(s["a"], p), rest(s["b"], p)))
+    turned = lambda s: two(F.reverse(s["a"]), F.reverse(s["b"]))
+
+    def near(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+        inner = F.contains(b, F.substring(a, F.lit(2), F.greatest(F.length(a) - 2, F.lit(0)))) if edits == 2 else F.lit(True)
+        return F.when(long <= edits, True).when((short > 0) & inner, within(a, b, edits)).otherwise(False)
+
+    middle = _let(_let(beyond(two(F.col("a"), F.col("b"))), turned), beyond)  # reversed, which changes no distance
+    return pairs.where((F.abs(F.length("a") - F.length("b")) <= edits) & _let(middle, near)).select("x", "y")
 
 
 def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -120,11 +149,11 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
     at a place that the length difference bounds. So each line puts its own segments in an index by
     length and segment number, and probes it with the substrings of _offsets for each shorter length. An
     equi-join on the hash of segment number, length and string finds the candidates; a frequent segment
-    is a skewed key, which adaptive execution splits. The join already drops candidates whose masks
-    differ in more than 2 * edits bits. Hash collisions only add candidates; `within` decides.
+    is a skewed key, which adaptive execution splits. The join already drops candidates whose counts of
+    letters differ by more than 2 * edits. Hash collisions only add candidates; `within` decides.
     """
     long = distinct.where(F.length("line") >= max(least, 2 * edits + 2)).withColumn("n", F.length("line"))
-    long = stored(long.join(_parities(long), "id"), "masked")
+    long = long.withColumn("mask", _counts(F.col("line")))
     own, probe = [], []
     for i in range(edits + 1):
         at, size = _segment(F.col("n"), i, edits)
@@ -134,10 +163,12 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
         probe.append(F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", at + 1 + o, size)))
     index = long.select(F.col("id").alias("x"), F.col("mask").alias("mx"), F.explode(F.array(*own)).alias("key"))
     probes = long.select(F.col("id").alias("y"), F.col("mask").alias("my"), F.explode(F.array(*probe)).alias("key"))
-    near = F.bit_count(F.col("mx").bitwiseXOR(F.col("my"))) <= 2 * edits
+    near = _apart(F.col("mx"), F.col("my")) <= 2 * edits
     found = index.join(probes, (index["key"] == probes["key"]) & (F.col("x") != F.col("y")) & near)
     pairs = stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
-    text = distinct.select("id", "line")
+    needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "line-ids")
+    few = needed.count() <= BROADCAST_IDS
+    text = distinct.join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "line")
     both = pairs.join(text.select(F.col("id").alias("x"), F.col("line").alias("a")), "x").join(text.select(F.col("id").alias("y"), F.col("line").alias("b")), "y")
     return verified(both, edits)
 
@@ -162,7 +193,7 @@ def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     unpack = F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(38,0)"))
     firsts = where.join(later.withColumn("near", F.lit(True)), "id", "left").select(unpack.cast("long").alias("_doc"), F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)")).cast("int").alias("line_no"), F.coalesce("near", F.lit(False)).alias("near"))
     by_doc = firsts.groupBy("_doc").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("kept"))
-    filled = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"\A[\t-\r ]*\z"))
+    filled = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != "")
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"))
     out = sizes.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(by_doc, "_doc", "left")
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), (F.greatest("n_lines", F.lit(0)) - F.coalesce("n_first", F.lit(0))).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))

@@ -17,7 +17,7 @@ _TOP = 31
 _MASK = (1 << (_TOP + 1)) - 1
 _SPACE = "\t\n\v\f\r "
 #: Letters that are counted to tell lines apart.
-_LETTERS = "aeinorstl"
+_LETTERS = "bcdfgklmpuwyhs"
 #: Lines whose ids are broadcast at most, to read only their texts; more are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -99,19 +99,21 @@ def _distance(x: Column, y: Column, m: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, step)["score"]
 
 
-def _counts(line: Column) -> Column:
-    """How often each of _LETTERS occurs, 7 bits each and at most 127; an edit changes two of them by one at most."""
-    packed = F.lit(0).cast("long")
+def letter_counts(line: Column) -> Column:
+    """How often each of _LETTERS occurs, modulo 4, two bits each; an edit changes two of them by one at most."""
+    packed = F.lit(0)
     for k, c in enumerate(_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(127)).cast("long"), 7 * k))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
     return packed
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """The sum of the differences of two values of _counts."""
-    part = lambda c, k: F.shiftright(c, 7 * k).bitwiseAND(F.lit(127))
-    return reduce(Column.__add__, [F.abs(part(a, k) - part(b, k)) for k in range(len(_LETTERS))])
+    """The least edit changes between two values of letter_counts: 1 for each letter that differs by an odd number, 2 for the others that differ."""
+    turn = F.lit(sum(1 << 2 * k for k in range(len(_LETTERS))))
+    unlike = a.bitwiseXOR(b)
+    odd = unlike.bitwiseAND(turn)
+    return F.bit_count(odd) + 2 * F.bit_count(F.shiftright(unlike, 1).bitwiseAND(turn).bitwiseAND(F.bitwise_not(odd)))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -143,7 +145,7 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(x, y) ids of each pair of lines (id, line) within the edits, x <> y, each pair once.
+    """(x, y) ids of each pair of lines (id, line, letters) within the edits, x <> y, each pair once; letters: letter_counts(line).
 
     If at most `edits` edits part two lines, one of edits + 1 segments of the shorter is in the longer,
     at a place that the length difference bounds. So each line puts its own segments in an index by
@@ -153,7 +155,6 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
     letters differ by more than 2 * edits. Hash collisions only add candidates; `within` decides.
     """
     long = distinct.where(F.length("line") >= max(least, 2 * edits + 2)).withColumn("n", F.length("line"))
-    long = long.withColumn("mask", _counts(F.col("line")))
     own, probe = [], []
     for i in range(edits + 1):
         at, size = _segment(F.col("n"), i, edits)
@@ -161,8 +162,8 @@ def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CH
     for d, i, o in _offsets(edits):
         at, size = _segment(F.col("n") - d, i, edits)
         probe.append(F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", at + 1 + o, size)))
-    index = long.select(F.col("id").alias("x"), F.col("mask").alias("mx"), F.explode(F.array(*own)).alias("key"))
-    probes = long.select(F.col("id").alias("y"), F.col("mask").alias("my"), F.explode(F.array(*probe)).alias("key"))
+    index = long.select(F.col("id").alias("x"), F.col("letters").alias("mx"), F.explode(F.array(*own)).alias("key"))
+    probes = long.select(F.col("id").alias("y"), F.col("letters").alias("my"), F.explode(F.array(*probe)).alias("key"))
     near = _apart(F.col("mx"), F.col("my")) <= 2 * edits
     found = index.join(probes, (index["key"] == probes["key"]) & (F.col("x") != F.col("y")) & near)
     pairs = stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
@@ -185,7 +186,7 @@ def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     place = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("line_no")
     every = lines_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("place", place.cast("decimal(38,0)"))
     first = every.groupBy("line").agg(F.min("place").alias("place"))
-    distinct = stored(first.withColumn("id", F.monotonically_increasing_id()), "lines")
+    distinct = stored(first.withColumn("id", F.monotonically_increasing_id()).withColumn("letters", letter_counts(F.col("line"))), "lines", "zstd")
     near = stored(similar_lines(distinct, edits, least), "similar")
     where = distinct.select("id", "place")
     ordered = near.join(where.select(F.col("id").alias("x"), F.col("place").alias("px")), "x").join(where.select(F.col("id").alias("y"), F.col("place").alias("py")), "y")

@@ -155,6 +155,13 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(batches(compare, schema), "a long, b long, keep boolean").where("keep").select("a", "b")
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of these ids, each once."""
+    needed = stored(ids.distinct(), "needed")
+    few = needed.count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) pairs with at least this similarity of their sets of shingles."""
     sets = pa.schema([("rep", pa.int64()), ("own", pa.binary())])
@@ -173,14 +180,27 @@ def _checked(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             made.append(both / (len(x) + len(y) - both))
         return [batch.column("a"), batch.column("b"), made]
 
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    few = needed.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = stored(texts.mapInArrow(batches(cut, sets), "rep long, own binary"), "shingles")
+    own = stored(_texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs).mapInArrow(batches(cut, sets), "rep long, own binary"), "shingles")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("rep").alias("b"), F.col("own").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(batches(compare, out), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _measured(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, size, common) of each of the reps: the size of its set of shingles, and how many of them another of the reps holds too."""
+    schema = pa.schema([("rep", pa.int64()), ("shingle", pa.int64()), ("size", pa.int32())])
+
+    def cut(batch: pa.RecordBatch) -> list:
+        words = Words(batch.column("text"))
+        sets = [np.unique(shingles(words.row(i), SHINGLE)) for i in range(len(words))]
+        sizes = [len(x) for x in sets]
+        ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
+        return [np.repeat(ids, sizes), np.concatenate(sets).view(np.int64), np.repeat(sizes, sizes)]
+
+    held = _texts(reps.select(F.col("rep").alias("doc_id")), docs).mapInArrow(batches(cut, schema), "rep long, shingle long, size int")
+    alone = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.min("size").alias("size"), F.count("*").alias("n")).where("n = 1")
+    return alone.groupBy("rep").agg(F.min("size").alias("size"), F.count("*").alias("alone")).select("rep", "size", (F.col("size") - F.col("alone")).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """(doc_id, copy_of, class_id) of each row: the least doc_id of its exact and of its near copies.
 
@@ -192,9 +212,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     One text of each group of copies goes on. In each band's bucket every text is first checked against
     the one that shares most buckets with others, as a rule the original of its copies, which joins most
     of a large group by as many pairs as it has members. Then texts of
-    a bucket that are in different components still are checked against each other: nearly none in a
-    bucket of copies, and no link between different texts is lost. All pairs pass through agreement of
-    signatures and an exact check.
+    a bucket that are in different components still are checked against each other, so no link between
+    different texts is lost. Sets of similarity s share s / (1 + s) of the sum of their sizes, so a pair is
+    only made if each holds as many shingles that aren't its own alone among these texts. Large groups of
+    texts that all differ from each other, each by words of its own, so make few pairs. All
+    pairs pass through agreement of signatures and an exact check.
     """
     signatures = stored(signed(docs, weighted), "signatures")
     reps = stored(signatures.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "text-keys")
@@ -215,9 +237,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     named = shared.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "hub", "rep", F.coalesce("class_id", "rep").alias("part"))
     sizes = stored(named.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1"), "sizes")
     mixed = stored(named.join(sizes, "bucket").select("bucket", "hub", "rep", "part", "main"), "mixed")
-    left = mixed.where("part <> main and rep <> hub").select("bucket", F.col("rep").alias("x"), F.col("part").alias("px"))
-    right = mixed.where("rep <> hub").select("bucket", F.col("rep").alias("y"), F.col("part").alias("py"), (F.col("part") == F.col("main")).alias("in_main"))
-    rest = left.join(right, "bucket").where("px <> py and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    measured = stored(_measured(mixed.where("rep <> hub").select("rep"), docs), "measured")
+    sized = mixed.where("rep <> hub").join(measured, "rep", "left").where(f"common is null or common >= {similarity!r}D * size - 1e-6D")  # null: all of them are common
+    part = lambda c: [F.col("part").alias(f"p{c}"), F.col("size").alias(f"n{c}"), F.col("common").alias(f"c{c}")]
+    left = sized.where("part <> main").select("bucket", F.col("rep").alias("x"), *part("x"))
+    right = sized.select("bucket", F.col("rep").alias("y"), *part("y"), (F.col("part") == F.col("main")).alias("in_main"))
+    enough = f"(nx is null or ny is null or least(cx, cy) >= {similarity / (1 + similarity)!r}D * (nx + ny) - 1e-6D)"
+    rest = left.join(right, "bucket").where(f"px <> py and (in_main or x < y) and {enough}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(_checked(stored(_agreeing(rest, first), "pairs"), docs, similarity), "links")
     if not more.isEmpty():
         joined = components(links.select("a", "b").union(more.select("a", "b")))

@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     a bucket that are in different components still are checked against each other, so no link between
     different texts is lost. Sets of similarity s share s / (1 + s) of the sum of their sizes, so a pair is
     only made if each holds as many shingles that aren't its own alone among these texts. Large groups of
-    texts that all differ from each other, each by words of its own, so make few pairs. All
-    pairs pass through agreement of signatures and an exact check.
+    texts that all differ from each other, each by words of its own, so make few pairs; of the buckets
+    that a pair shares only the least makes it. All pairs pass through agreement of signatures and an exact check.
     """
     signatures = stored(signed(docs, weighted), "signatures")
     reps = stored(signatures.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "text-keys")
@@ -239,11 +239,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     mixed = stored(named.join(sizes, "bucket").select("bucket", "hub", "rep", "part", "main"), "mixed")
     measured = stored(_measured(mixed.where("rep <> hub").select("rep"), docs), "measured")
     sized = mixed.where("rep <> hub").join(measured, "rep", "left").where(f"common is null or common >= {similarity!r}D * size - 1e-6D")  # null: all of them are common
-    part = lambda c: [F.col("part").alias(f"p{c}"), F.col("size").alias(f"n{c}"), F.col("common").alias(f"c{c}")]
+    sized = sized.join(first.select("rep", bands.alias("own")), "rep")
+    part = lambda c: [F.col("part").alias(f"p{c}"), F.col("size").alias(f"n{c}"), F.col("common").alias(f"c{c}"), F.col("own").alias(f"o{c}")]
     left = sized.where("part <> main").select("bucket", F.col("rep").alias("x"), *part("x"))
     right = sized.select("bucket", F.col("rep").alias("y"), *part("y"), (F.col("part") == F.col("main")).alias("in_main"))
     enough = f"(nx is null or ny is null or least(cx, cy) >= {similarity / (1 + similarity)!r}D * (nx + ny) - 1e-6D)"
-    rest = left.join(right, "bucket").where(f"px <> py and (in_main or x < y) and {enough}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = left.join(right, "bucket").where(f"px <> py and (in_main or x < y) and {enough} and bucket = array_min(array_intersect(ox, oy))").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(_checked(stored(_agreeing(rest, first), "pairs"), docs, similarity), "links")
     if not more.isEmpty():
         joined = components(links.select("a", "b").union(more.select("a", "b")))

@@ -1,5 +1,6 @@
 """Top-k, mixing, token files, decontamination and near duplicates against plain Python."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -222,6 +223,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert weighted[2004] == 2003 and weighted[2005] == 2005
 
 
+def test_links_that_no_hub_has(spark):
+    """Copies of one text that are too far from it, in twos that are near each other."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(12):
+        far = list(base)
+        for at in rng.sample(range(150), 7):
+            far[at] = f"x{i}n{at}"
+        near = list(far)
+        near[rng.randrange(150)] = f"y{i}"
+        rows += [(2 * i + 1, " ".join(far)), (2 * i + 2, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_shingles():
     h = np.arange(1, 9, dtype=np.uint64)
     assert len(shingles(h, 5)) == 4 and len(shingles(h[:3], 5)) == 1 and not len(shingles(h[:0], 5))

@@ -197,3 +197,25 @@ def test_templates_of_pages_without_marks(spark):
 
     with mock.patch.object(pages, "BROADCAST_BYTES", 0):
         assert {x["page_id"]: x["text"] for x in pages.extracted(df).collect()} == got
+
+
+def test_passages_that_the_stars_miss(spark):
+    r = random.Random(9)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p, line = fill(80), fill(20)
+    rows = {0: p[31:], 1: p[:49], 2: p, 3: p, 4: p[:49], 5: p[31:]} | {k: line for k in range(6, 40)}
+    far = fill(60)
+    rows |= {40: far[:15] + fill(80) + far, 41: far}
+    docs = spark.createDataFrame([(k, " ".join((k != 2) * fill(30) + v + (k != 3) * fill(40))) for k, v in rows.items()], "doc_id long, text string")
+    words = {x["doc_id"]: x["text"].split() for x in docs.collect()}
+    brute = set()
+    for b in words:
+        for a in range(b):
+            seeds = [(i, j) for i, x in enumerate(zip(*(words[a][k:] for k in range(6)))) for j, y in enumerate(zip(*(words[b][k:] for k in range(6)))) if x == y]
+            x, y = (np.array([hash(w) & 0xFFFFFFFF for w in words[k]], np.uint32) for k in (a, b))
+            for c in passages.chains(seeds) if seeds else []:
+                s, e, t, f, same = passages.align(x, y, c)
+                if min(e - s, f - t) >= 50 and same >= 0.8:
+                    brute.add((b, a, t, f, s, e))
+    got = {tuple(x[k] for k in ("doc_id", "other_id", "start", "end", "other_start", "other_end")) for x in passages.repeated_passages(docs).collect()}
+    assert got == brute and {x[:2] for x in got} == {(3, 2), (41, 40)}

@@ -39,9 +39,13 @@ def dictionary(rows: DataFrame, model: CountVectorizerModel) -> DataFrame:
 
 
 def fit(rows: DataFrame, k: int, alpha: str | float = "auto", seed: int = 0, max_iter: int = 50) -> LDAModel:
-    """Online LDA; alpha 'auto' learns the document concentration."""
-    lda = LDA(k=k, optimizer="online", maxIter=max_iter, seed=seed, featuresCol="features", optimizeDocConcentration=alpha == "auto")
-    return (lda if alpha == "auto" else lda.setDocConcentration([float(alpha)])).fit(rows)
+    """Online LDA; alpha 'auto' learns the document concentration. Each of the max_iter iterations is a pass over all rows."""
+    lda = LDA(k=k, optimizer="online", maxIter=max_iter, subsamplingRate=1.0, seed=seed, featuresCol="features", optimizeDocConcentration=alpha == "auto")
+    features = rows.select("features").persist()
+    try:
+        return (lda if alpha == "auto" else lda.setDocConcentration([float(alpha)])).fit(features)
+    finally:
+        features.unpersist()
 
 
 def top_terms(model: LDAModel, dictionary_model: CountVectorizerModel, n: int = 20) -> DataFrame:

@@ -223,10 +223,13 @@ def coherence_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.c_v(_tokens(spark, sf_dir), _fixed(spark)).select("topic_id", F.round("c_v", 6).alias("c_v"))
 
 
+def _corpus(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    return topics.prepared(_ascii(spark, sf_dir).select("doc_id", F.coalesce(F.lower("text"), F.lit("")).alias("clean_text")))
+
+
 def _lda(spark: SparkSession, sf_dir: str, seed: int = 1):  # noqa: ANN202
-    clean = _ascii(spark, sf_dir).where("lang = 'en'").select("doc_id", F.lower("text").alias("clean_text"))
-    rows, words = topics.prepared(clean)
-    return rows, words, topics.fit(rows, 4, seed=seed, max_iter=3)
+    rows, words = _corpus(spark, sf_dir)
+    return rows, words, topics.fit(rows, 4, seed=seed)
 
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +243,8 @@ def lda_doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, words, _ = _lda(spark, sf_dir)
-    return topics.compute_stability(rows, words, 4, 2, 10, max_iter=3)
+    rows, words = _corpus(spark, sf_dir)
+    return topics.compute_stability(rows, words, 4, 2, 10)
 
 
 _ALL = (clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, lda_topics, lda_doc_topics, aligned_stability)

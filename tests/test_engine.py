@@ -255,3 +255,9 @@ def test_entry_and_every_query_has_one_schema(spark):
 
     assert entry.entry(spark).count() == 30
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_topic_models_read_all_documents_in_each_pass(spark):
+    rows, _, model = queries._lda(spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert model.getMaxIter() * model.getSubsamplingRate() == 50

@@ -134,9 +134,8 @@ def _counted(pages: DataFrame) -> DataFrame:
             page = page or ""
             own = xxhash.xxh64_intdigest(f"{url}\0{page}") - (1 << 63)
             for i, t in enumerate(tokens(page)):
-                if t.text is None or t.where != "main":
-                    held = found.setdefault(t.key, [0, i, t.text is not None])
-                    held[0] += 1
+                held = found.setdefault(t.key, [0, i, t.text is not None])
+                held[0] += 1
             out.append((host, 0, own, 1, -1.0, False))
             out += [(host, k, own, c, float(i), x) for k, (c, i, x) in found.items()]
         return [list(x) for x in zip(*out, strict=True)]
@@ -189,14 +188,17 @@ def nested(found: list[Token], template: list[dict]) -> tuple[set[int], set[int]
 
 def slots(page: str | None, template: list[dict] | None) -> list[tuple[str, str, str]]:
     """(path of the template token before it, where, text) of each text in a slot, that is, not of the template itself."""
-    found = list(tokens(page or ""))
+    return _slots(list(tokens(page or "")), template)
+
+
+def _slots(found: list[Token], template: list[dict] | None) -> list[tuple[str, str, str]]:
     tags, texts = nested(found, template) if template else (set(), set())
     out: list[tuple[str, str, str]] = []
     here = ""
     for t in found:
         if t.text is None:
             here = t.path if t.key in tags else here
-        elif t.where == "main" or t.key not in texts:
+        elif t.key not in texts:
             out.append((here, t.where, t.text))
     return out
 
@@ -204,15 +206,23 @@ def slots(page: str | None, template: list[dict] | None) -> list[tuple[str, str,
 def main_text(page: str | None, template: list[dict] | None) -> str:
     """The texts in the slots of a page that hold its content, joined by a space.
 
-    Slots inside article or main elements are content, less what navigation, headers, footers,
+    Texts that are valid tokens of the host's template fill no slot, in marked elements too. Of the
+    slots, those inside article or main elements are content, less what navigation, headers, footers,
     sidebars, forms and elements named as adverts, notices or comments hold. Where a page marks no
-    content so, all slots outside such elements are. Texts that are valid tokens of the host's
-    template fill no slot; texts of a marked article are never taken for template, so that a sentence
-    which many articles share stays.
+    content so, all slots outside such elements are; so too where it has a template and several
+    marked elements, which are teasers if the other slots hold more text. If no slot in its marked
+    elements is left, a page is one of some copies that make up the host's template, and keeps all its marked texts.
     """
-    found = slots(page, template)
-    want = "main" if any(w == "main" for _, w, _ in found) else ""
-    return " ".join(text for _, w, text in found if w == want)
+    found = list(tokens(page or ""))
+    filled = _slots(found, template)
+    size = {w: sum(len(text) for _, at, text in filled if at == w) for w in ("main", "")}
+    marks = sum(t.text is None and t.where == "main" and t.path.rpartition("/")[2].partition(".")[0] in _MAIN for t in found)
+    want = "main" if any(t.text is not None and t.where == "main" for t in found) else ""
+    if template and marks > 1 and size[""] > size["main"]:
+        want = ""
+    elif want and not size["main"]:
+        filled = _slots(found, None)
+    return " ".join(text for _, w, text in filled if w == want)
 
 
 def extracted(pages: DataFrame, name: str = "text") -> DataFrame:

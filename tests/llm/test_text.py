@@ -219,3 +219,12 @@ def test_passages_that_the_stars_miss(spark):
                     brute.add((b, a, t, f, s, e))
     got = {tuple(x[k] for k in ("doc_id", "other_id", "start", "end", "other_start", "other_end")) for x in passages.repeated_passages(docs).collect()}
     assert got == brute and {x[:2] for x in got} == {(3, 2), (41, 40)}
+
+
+def test_templates_of_marked_pages(spark):
+    page = "<html><body><div class=top>Welcome</div><article><p>Text {0} of page<p>Tell your friends about us</article><div>All rights</div></body></html>"
+    teasers = "<html><body><article><p>Teaser {0}</article><article><p>More {0}</article><div class=c><p>The long text of page {0} that is what it is for</div></body></html>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(20)] + [(20 + i, f"http://t.org/{i}", teasers.format(i)) for i in range(20)] + [(40 + i, f"http://copy.org/{i}", page.format(1)) for i in range(3)]
+    got = {x["page_id"]: x["text"] for x in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Text 5 of page" and got[25] == "The long text of page 5 that is what it is for"
+    assert got[41] == "Text 1 of page Tell your friends about us"

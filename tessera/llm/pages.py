@@ -20,10 +20,11 @@ SUPPORT, LEAST_PAGES = 0.5, 3
 BROADCAST_BYTES = 8 << 20
 
 # Element names of the HTML standard.
-_RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas"}
+_RAW = {"script", "style"}
+_EMBEDDED = {"noscript", "template", "svg", "iframe", "object", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_BOILER = {"head", "title", "nav", "header", "footer", "aside", "menu", "form", "button", "select", "option", "textarea", "input", "fieldset", "dialog", "datalist"} | _RAW
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_BOILER = {"head", "title", "nav", "header", "footer", "aside", "menu", "form", "button", "select", "option", "textarea", "input", "fieldset", "dialog", "datalist"} | _RAW | _EMBEDDED
 _MAIN = {"article", "main"}
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)", re.I)
 _ROLES = re.compile(r"banner|navigation|complementary|contentinfo|search|form|dialog|alert", re.I)
@@ -58,7 +59,7 @@ def _named(attributes: str, name: str) -> tuple[str, bool]:
 
 
 def tokens(page: str) -> Iterator[Token]:
-    """Tags and block texts of a page in order. Unclosed elements end with the element around them; raw-text elements are skipped."""
+    """Tags and block texts of a page in order. Unclosed elements end with the element around them, embedded ones at once; raw-text elements are skipped."""
     stack: list[tuple[str, str, str, bool]] = []  # name, path, where, is a block
     text: list[str] = []
 
@@ -113,7 +114,7 @@ def tokens(page: str) -> Iterator[Token]:
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
-        elif name not in _VOID and not m[3].endswith("/"):
+        elif name not in _VOID and not m[3].endswith("/") and (name not in _EMBEDDED or re.compile(rf"</{name}\s*>", re.I).search(page, pos)):
             stack.append((name, path, where, name not in _INLINE))
     yield from block()
 

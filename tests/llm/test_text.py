@@ -228,3 +228,8 @@ def test_templates_of_marked_pages(spark):
     got = {x["page_id"]: x["text"] for x in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[5] == "Text 5 of page" and got[25] == "The long text of page 5 that is what it is for"
     assert got[41] == "Text 1 of page Tell your friends about us"
+
+
+def test_embedded_elements_end():
+    assert pages.main_text("<article>a<svg width=1 />b<p>c<object data='x'/>d<p>e<canvas>f<p>g</article>", None) == "a b c d e f g"
+    assert pages.main_text("<article>a <math><mi>x</mi></math> b<svg><text>no</text></svg><p>c<noscript>no</noscript></article>", None) == "a x b c"

@@ -22,6 +22,9 @@ WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 1 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +32,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Without one, a local master gets a temporary folder; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
-            root = held.get()
-        else:
-            root = tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(root)
+            return held.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
@@ -46,12 +51,24 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lowers the session's bytes of an Arrow batch to `size`, where it is higher or not set: texts may be long. It changes no result."""
+    held = spark.conf.get(_BYTES, None)
+    if held is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) <= size:
+        spark.conf.set(_BYTES, str(size))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,10 +82,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows."""
+    """UTF-8 bytes of a string column (null: empty), or those of a large binary one, and the n + 1 offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.fill_null("").cast(pa.large_string())
+    if not pa.types.is_large_binary(col.type):
+        col = col.fill_null("").cast(pa.large_string())
     n = len(col)
     offsets = np.frombuffer(col.buffers()[1], np.int64, n + 1, col.offset * 8) if n else np.zeros(1, np.int64)
     data = col.buffers()[2]
@@ -182,7 +200,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "edges")
+        after = stored(small, "edges")
+        release(edges, least)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mix, small_batches
+from .common import Words, batches, mix, bounded_batches
 
 WINDOW = 13
 #: Words of items in one automaton. More items are split over several, one pass over the documents each.
@@ -168,7 +168,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_word
     broadcast for a pass over the documents, so neither side's size meets a limit.
     """
     out = docs.drop("n_words", "spans", "items").withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     blocks = _blocks(items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text"), block_words)
     for block in [x for x in blocks] or [[]]:
         out = _pass(out, block, window)

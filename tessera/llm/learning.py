@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches
+from .common import batches, bounded_batches
 
 #: Most labelled rows that a model is fitted on, those with the least md5(doc_id). Scoring has no limit.
 SAMPLE = 6_000
@@ -38,7 +38,7 @@ def scored(docs: DataFrame, score, threshold: float, column: str = "text") -> Da
     def run(batch: pa.RecordBatch) -> list:
         return [*(batch.column(i) for i in range(len(names))), np.asarray(score(batch.column(column)), np.float64)]
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     made = kept.mapInArrow(batches(run, schema), out.schema)
     return made.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

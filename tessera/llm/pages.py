@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, stored
+from .common import batches, bounded_batches, stored
 
 #: Share of a host's pages in which a class must occur, and pages that a host needs for a template.
 SUPPORT, LEAST_PAGES = 0.5, 3
@@ -141,7 +141,7 @@ def _counted(pages: DataFrame) -> DataFrame:
             out += [(host, k, own, c, float(i), x) for k, (c, i, x) in found.items()]
         return [list(x) for x in zip(*out, strict=True)]
 
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     return pages.select("url", "html").mapInArrow(batches(count, schema), "host string, token long, page long, times int, place double, is_text boolean")
 
 
@@ -246,6 +246,6 @@ def extracted(pages: DataFrame, name: str = "text") -> DataFrame:
 
         return pd.Series([main_text(h, None if t is None else list(t)) for h, t in zip(html, template, strict=True)], dtype=object)
 
-    small_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
     return rows.withColumn(name, F.coalesce(text("html", "_template"), F.lit(""))).select(*kept, name)
 

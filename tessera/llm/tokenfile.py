@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, small_batches, span_hashes, text_buffer
+from .common import batches, shared_dir, bounded_batches, span_hashes, text_buffer
 
 END_ID = 2
 #: Parquet writer: version 2 pages and no dictionary give DELTA_BINARY_PACKED ids; column and offset indexes are always written.
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
     A null text is empty (its end id alone); a null doc_id comes first; rows of equal doc_id stand in order of their text.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def encode(batch: pa.RecordBatch) -> list:
         ids, offsets = _encoder(tokenizer_path).encode(batch.column("text"), end_id)
@@ -184,7 +184,7 @@ def digest(rows: DataFrame) -> DataFrame:
         return [batch.column("doc_id"), np.diff(offsets), [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)], batch.column("file"), batch.column("row")]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("file", pa.int64()), ("row", pa.int64())])
-    small_batches(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     found = rows.select("doc_id", "ids", "file", "row").mapInArrow(batches(crc, schema), "doc_id long, n_tokens long, ids_crc32 long, file long, row long")
     return with_starts(found, rows.select("file", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 

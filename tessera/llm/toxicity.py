@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, small_batches
+from .common import Words, batches, bounded_batches
 from .learning import SAMPLE, Adam, scored, training_rows
 
 BITS = 18
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         firsts = [(s.first[edge[i] : edge[i + 1]] - s.words.of_row[i]).astype(np.int32).tobytes() for i in range(len(s.words))]
         return [batch.column("doc_id"), batch.column("y"), words, firsts]
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     got = rows.mapInArrow(batches(cut, schema), "doc_id long, y int, words binary, firsts binary").toArrow().sort_by("doc_id")
     words = [np.frombuffer(x, np.int32).reshape(1 + len(PREFIXES), -1) for x in got["words"].to_pylist()]
     firsts = [np.frombuffer(x, np.int32) for x in got["firsts"].to_pylist()]
@@ -130,5 +130,5 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         row = s.row[at]
         return [batch.column("doc_id").take(pa.array(row, pa.int64())), at - np.searchsorted(s.row, row), begin - w.rows[row], end - w.rows[row], p[at], [w.raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]]
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(batches(find, schema), "doc_id long, sentence int, start long, end long, score double, text string")

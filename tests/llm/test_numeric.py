@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -180,15 +180,20 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - want) < 0.04 and not s[2].any()
     big = mixed = rng.integers(0, 2**63, 30_000).astype(np.uint64)
     mixed = np.concatenate([big[:24_000], big[:100]])
-    s = hasher.signatures(np.concatenate([big, mixed]), np.repeat([0, 1], [len(big), len(mixed)]), None, 2)
+    s = hasher.signatures(np.concatenate([big, mixed]), np.repeat([0, 1], [len(big), len(mixed)]), np.ones(len(big) + len(mixed)), 2)
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.04
+    a, b = rng.geometric(0.01, 40).astype(float), rng.geometric(0.01, 40).astype(float)  # heavy elements, some of a weight of hundreds
+    b[:30] = a[:30]
+    s = hasher.signatures(np.concatenate([element[:40]] * 2), np.repeat([0, 1], 40), np.concatenate([a, b]), 2)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
 def brute_classes(rows, limit=0.8):
+    """Classes by weighted Jaccard similarity of the counts of five-word shingles."""
     sets = {}
     for i, t in rows:
         w = words(t)
-        sets[i] = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), tuple(w))
+        sets[i] = (Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter(), tuple(w))
     up = {i: i for i in sets}
 
     def find(i):
@@ -202,7 +207,7 @@ def brute_classes(rows, limit=0.8):
             held[g].append(i)
     for pair in {(a, b) for v in held.values() for a in v for b in v if a < b}:
         (s, w), (t, x) = (sets[i] for i in pair)
-        if w == x or s and t and len(s & t) >= limit * len(s | t):
+        if w == x or s and t and (s & t).total() >= limit * (s | t).total():
             a, b = sorted(map(find, pair))
             up[b] = a
     return {i: find(i) for i in sets}
@@ -213,14 +218,24 @@ def test_near_duplicates_match_brute_force(spark):
     base = [f"w{i}" for i in range(60)]
     rows += [(1000 + i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(0, 60, 2)]  # near copies of each other in part
     rows += [(2000, None), (2001, ""), (2002, "..."), (2003, "one two"), (2004, "One, two"), (2005, "two one")]
+    rows += [(2100, "p q r s t " * 3), (2101, "p q r s t " * 300), (2102, "p q r s t " * 290), (2103, " ".join(base) + " again" * 30), (2104, " ".join(base) + " again" * 200), (2105, " ".join(f"v{i}" for i in range(30_000))), (2106, " ".join(f"v{i}" for i in range(1, 30_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit(1))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
     assert minhash.near_duplicates(docs.where("false")).count() == 0
-    weighted = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, weighted=True).collect()}
-    assert weighted[2004] == 2003 and weighted[2005] == 2005
+    assert got[2101] == got[2102] != got[2100] and got[2103] != got[2104] and got[2105] == got[2106]
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(3, " ".join(base)), (5, " ".join(base)), (5, " ".join([*base[:39], "x"])), (7, " ".join([*base, "y"])), (None, " ".join(base)), (None, "alone"), (9, None), (9, "alone too"), (9, "alone too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit(1), "signature": F.lit(2)})
+    one, two = (sorted((r["doc_id"] or -1, r["copy_of"] or -1, r["class_id"] or -1) for r in minhash.near_duplicates(d).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == len(rows) and {c for i, _, c in one if i in (3, 5, 7)} == {3}
+    kept = minhash.one_of_each(docs).collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, -1, 3, 9]
 
 
 def test_links_that_no_hub_has(spark):

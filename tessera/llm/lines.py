@@ -5,26 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 EDITS = 2
-#: Lines of fewer characters are only compared exactly.
-LEAST_CHARS = 20
 _TOP = 31
 _MASK = (1 << (_TOP + 1)) - 1
 _SPACE = "\t\n\v\f\r "
-#: Letters that are counted to tell lines apart.
-_LETTERS = "bcdfgklmpuwyhs"
-#: Lines whose ids are broadcast at most, to read only their texts; more are joined.
-BROADCAST_IDS = 2_000_000
+#: Letters that are counted to tell lines of a frequent segment apart.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Words of 64 bits in the bitmap of ids that is broadcast, 16 MB at most.
+_SLOTS = 1 << 20
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line) of lines that aren't blank, without white space around them."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line_no from 0, line) of lines that aren't blank, without white space around them."""
+    split = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.withColumn("line", F.trim("line", F.lit(_SPACE))).where("line <> ''")
 
 
@@ -101,16 +99,16 @@ def _distance(x: Column, y: Column, m: Column, edits: int) -> Column:
 
 def letter_counts(line: Column) -> Column:
     """How often each of _LETTERS occurs, modulo 4, two bits each; an edit changes two of them by one at most."""
-    packed = F.lit(0)
+    packed = F.lit(0).cast("long")
     for k, c in enumerate(_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)).cast("long"), 2 * k))
     return packed
 
 
 def _apart(a: Column, b: Column) -> Column:
     """The least edit changes between two values of letter_counts: 1 for each letter that differs by an odd number, 2 for the others that differ."""
-    turn = F.lit(sum(1 << 2 * k for k in range(len(_LETTERS))))
+    turn = F.lit(sum(1 << 2 * k for k in range(len(_LETTERS)))).cast("long")
     unlike = a.bitwiseXOR(b)
     odd = unlike.bitwiseAND(turn)
     return F.bit_count(odd) + 2 * F.bit_count(F.shiftright(unlike, 1).bitwiseAND(turn).bitwiseAND(F.bitwise_not(odd)))
@@ -144,68 +142,110 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.where((F.abs(F.length("a") - F.length("b")) <= edits) & _let(middle, near)).select("x", "y")
 
 
-def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(x, y) ids of each pair of lines (id, line, letters) within the edits, x <> y, each pair once; letters: letter_counts(line).
+def _keys(n: Column, wide: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """Hashes of a line's own segments, and of all its substrings that may be a segment of a line as long or shorter; the first edits + 1 of these are its own segments.
+
+    n: its length; wide: its characters in four bytes each, which are cut without a walk from the beginning.
+    """
+    cut = lambda i, m, o: F.xxhash64(F.lit(i), m, F.substring(wide, (_segment(m, i, edits)[0] + o) * 4 + 1, _segment(m, i, edits)[1] * 4))
+    own = [cut(i, n, 0) for i in range(edits + 1)]
+    return own, own + [cut(i, n - d, o) for d, i, o in _offsets(edits) if d or o]
+
+
+def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines whose id is in ids (id). A bitmap of hashed ids, of a bounded size, leaves out most others, so that their texts aren't shuffled; a join decides."""
+    mark = F.xxhash64(F.lit(1), "id")
+    slot, bit = F.pmod(mark, F.lit(_SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mark, 32), F.lit(64)).cast("int"))
+    marks = ids.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_word"))
+    some = lines.withColumn("_slot", slot).join(F.broadcast(marks), "_slot").where(F.col("_word").bitwiseAND(bit) != 0)
+    return some.drop("_slot", "_word").join(ids, "id", "left_semi")
+
+
+def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
+    """(x, y) ids of each pair of lines (id, line, n) within the edits, x <> y, each pair once; n: the line's length.
 
     If at most `edits` edits part two lines, one of edits + 1 segments of the shorter is in the longer,
     at a place that the length difference bounds. So each line puts its own segments in an index by
-    length and segment number, and probes it with the substrings of _offsets for each shorter length. An
-    equi-join on the hash of segment number, length and string finds the candidates; a frequent segment
-    is a skewed key, which adaptive execution splits. The join already drops candidates whose counts of
-    letters differ by more than 2 * edits. Hash collisions only add candidates; `within` decides.
+    length and segment number, and probes it with the substrings of _offsets for each shorter length. Most
+    segments belong to one line, and a probe finds that line. Probes of segments that several lines share
+    are joined with those lines again, and there pairs go whose counts of letters differ by more than
+    2 * edits. Hash collisions only add candidates; `within` decides. Lines of less than `least`
+    characters (2 * edits + 2, where the edits are a third of a line) are left out.
     """
-    long = distinct.where(F.length("line") >= max(least, 2 * edits + 2)).withColumn("n", F.length("line"))
-    own, probe = [], []
-    for i in range(edits + 1):
-        at, size = _segment(F.col("n"), i, edits)
-        own.append(F.xxhash64(F.lit(i), F.col("n"), F.substring("line", at + 1, size)))
-    for d, i, o in _offsets(edits):
-        at, size = _segment(F.col("n") - d, i, edits)
-        probe.append(F.xxhash64(F.lit(i), F.col("n") - d, F.substring("line", at + 1 + o, size)))
-    index = long.select(F.col("id").alias("x"), F.col("letters").alias("mx"), F.explode(F.array(*own)).alias("key"))
-    probes = long.select(F.col("id").alias("y"), F.col("letters").alias("my"), F.explode(F.array(*probe)).alias("key"))
-    near = _apart(F.col("mx"), F.col("my")) <= 2 * edits
-    found = index.join(probes, (index["key"] == probes["key"]) & (F.col("x") != F.col("y")) & near)
+    long = distinct.where(F.col("n") >= (2 * edits + 2 if least is None else max(least, 2 * edits + 2))).select("id", "n", F.encode("line", "UTF-32").alias("wide"))
+    own, probe = _keys(F.col("n"), F.col("wide"), edits)
+    index = long.select("id", F.explode(F.array(*own)).alias("key")).groupBy("key").agg(F.count("*").alias("lines"), F.min("id").alias("x"))
+    probes = long.select(F.col("id").alias("y"), F.posexplode(F.array(*probe)).alias("k", "key")).withColumn("own", F.col("k") <= edits).drop("k")
+    met = stored(probes.join(index.hint("shuffle_hash"), "key").where("lines > 1 or x <> y"), "line-probes")
+    shared = met.where("lines > 1").select("key", "y", "own")
+    lines = stored(_only(distinct, shared.select(F.col("y").alias("id")).distinct()).select("id", letter_counts(F.col("line")).alias("letters")), "line-letters")
+    shared = stored(shared.join(lines, shared["y"] == lines["id"]).select("key", "y", "own", "letters"), "line-shared")
+    held = shared.where("own").select("key", F.col("y").alias("x"), F.col("letters").alias("mx"))
+    near = _apart(F.col("mx"), F.col("letters")) <= 2 * edits
+    found = shared.join(held, (shared["key"] == held["key"]) & (F.col("x") != F.col("y")) & near).select("x", "y")
+    found = found.union(met.where("lines = 1").select("x", "y"))
     pairs = stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
+    release(met, lines, shared)
     needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "line-ids")
-    few = needed.count() <= BROADCAST_IDS
-    text = distinct.join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "line")
+    text = stored(_only(distinct, needed).select("id", "line"), "line-texts")
     both = pairs.join(text.select(F.col("id").alias("x"), F.col("line").alias("a")), "x").join(text.select(F.col("id").alias("y"), F.col("line").alias("b")), "y")
-    return verified(both, edits)
+    out = stored(verified(both, edits), "similar")
+    release(pairs, needed, text)
+    return out
 
 
-def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_exact, n_near, kept) of each document: line numbers that stay, and how many go.
+def _row(doc_id: Column, text: Column) -> Column:
+    """A number that orders rows by doc_id, null ones last, and tells those of one doc_id (or none) apart by hashes of their texts."""
+    far, part = F.lit(str(1 << 64)).cast("decimal(38,0)"), F.lit(1 << 30).cast("decimal(38,0)")
+    first = F.coalesce(doc_id.cast("long").cast("decimal(38,0)"), far + F.xxhash64(text).cast("decimal(38,0)"))
+    return (first * part + F.pmod(F.hash(text), F.lit(1 << 30)).cast("decimal(38,0)")).cast("decimal(38,0)")
 
-    The order of lines is that of (doc_id, line number), rows with a null doc_id last. A line goes as an
-    exact copy if the same line (less white space around it) stands earlier anywhere, and as a near
-    copy if it is the first of its kind but an earlier line is within `edits` edits of it. Blank
-    lines and null texts have no lines. doc_id is taken as a key: rows that repeat it count as one
-    document whose lines share their numbers.
-    """
-    place = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("line_no")
-    every = lines_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("place", place.cast("decimal(38,0)"))
+
+def _again() -> Column:
+    """Whether a row repeats another one of its number."""
+    return F.row_number().over(Window.partitionBy("_row").orderBy("_row")) > 1
+
+
+def _decided(docs: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
+    """decisions, with the rows' numbers and whether they repeat another row."""
+    wide = F.lit(1 << 31).cast("decimal(38,0)")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(F.col("doc_id"), F.col("text")).alias("_row"))
+    every = lines_of(rows, "_row").select("line", (F.col("_row") * wide + F.col("line_no")).cast("decimal(38,0)").alias("place"))
     first = every.groupBy("line").agg(F.min("place").alias("place"))
-    distinct = stored(first.withColumn("id", F.monotonically_increasing_id()).withColumn("letters", letter_counts(F.col("line"))), "lines", "zstd")
-    near = stored(similar_lines(distinct, edits, least), "similar")
+    distinct = stored(first.withColumn("id", F.monotonically_increasing_id()).withColumn("n", F.length("line")), "lines", "zstd")
+    near = similar_lines(distinct, edits, least)
     where = distinct.select("id", "place")
     ordered = near.join(where.select(F.col("id").alias("x"), F.col("place").alias("px")), "x").join(where.select(F.col("id").alias("y"), F.col("place").alias("py")), "y")
     later = ordered.select(F.when(F.col("px") < F.col("py"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct()
-    unpack = F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(38,0)"))
-    firsts = where.join(later.withColumn("near", F.lit(True)), "id", "left").select(unpack.cast("long").alias("_doc"), F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)")).cast("int").alias("line_no"), F.coalesce("near", F.lit(False)).alias("near"))
-    by_doc = firsts.groupBy("_doc").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("kept"))
+    firsts = where.join(later.withColumn("near", F.lit(True)), "id", "left").select(F.floor(F.col("place") / wide).cast("decimal(38,0)").alias("_row"), F.pmod("place", wide).cast("int").alias("line_no"), F.coalesce("near", F.lit(False)).alias("near"))
+    by_row = firsts.groupBy("_row").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("kept"))
     filled = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != "")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"))
-    out = sizes.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(by_doc, "_doc", "left")
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), (F.greatest("n_lines", F.lit(0)) - F.coalesce("n_first", F.lit(0))).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    sizes = rows.select("doc_id", "_row", F.greatest(F.coalesce(F.size(filled), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    out = sizes.join(by_row, "_row", "left").withColumn("_again", _again())
+    own = lambda c, none: F.when(F.col("_again"), none).otherwise(F.coalesce(c, none))
+    none = F.array().cast("array<int>")
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - own("n_first", F.lit(0))).alias("n_exact"), own("n_near", F.lit(0)).alias("n_near"), own("kept", none).alias("kept"), "_row", "_again")
+
+
+def decisions(docs: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_exact, n_near, kept) of each row: line numbers that stay, and how many go.
+
+    The order of lines is that of (doc_id, line number), rows with a null doc_id last; rows that share a
+    doc_id, or have none, stand in the order of a hash of their texts. A line goes as an exact copy if
+    the same line (less white space around it) stands earlier anywhere, and as a near copy if it is
+    the first of its kind but an earlier line is within `edits` edits of it. Blank lines and null texts
+    have no lines. All lines of a row that repeats another in doc_id and text are exact copies.
+    """
+    return _decided(docs, edits, least).drop("_row", "_again")
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:
     """docs' own columns with only the lines that stay, and blank lines; null texts stay null."""
-    names = docs.columns
-    held = decisions(docs, edits, least).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    lines = F.split(docs["text"], "\n")
+    held = _decided(docs, edits, least).where("not _again").select("_row", F.col("kept").alias("_kept"))
+    lines = F.split("text", "\n")
     blank = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\A[\t-\r ]*\z"), i)), lambda i: i.isNotNull())
-    text = F.array_join(F.transform(F.array_sort(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), blank)), lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*[F.when(docs["text"].isNotNull(), text).alias("text") if c == "text" else docs[c] for c in names])
+    none = F.array().cast("array<int>")
+    text = F.array_join(F.transform(F.array_sort(F.array_union(F.when(F.col("_again"), none).otherwise(F.coalesce("_kept", none)), blank)), lambda i: F.get(lines, i)), "\n")
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "text", _row(F.col("doc_id"), F.col("text")).alias("_row"))
+    made = every.join(held, "_row", "left").withColumn("_again", _again()).withColumn("_text", F.when(F.col("text").isNotNull(), text))
+    return made.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_all.`{c}`") for c in docs.columns])

@@ -45,7 +45,7 @@ def test_bit_parallel_distance(spark, edits):
     assert {x["x"] for x in lines.verified(rows, edits).collect()} == {i for i, (a, b) in enumerate(pairs) if distance(a, b) <= edits}
 
 
-def brute_lines(rows, edits=2, least=20):
+def brute_lines(rows, edits=2, least=6):
     order, first, out = [], {}, {}
     for doc, text in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
         out[doc] = [0, 0, 0, []]
@@ -70,16 +70,29 @@ def test_line_decisions(spark):
     r = random.Random(1)
     base = ["".join(r.choice("abcdefgh é") for _ in range(r.randrange(18, 60))).strip() for _ in range(40)]
     rows = [(i, "\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randrange(1, 8)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, " \n\n\t"), (103, "short\nshorT\nshort"), (None, base[0] + "\nonly in the last document"), (-5, base[1]), (104, "x" * 900 + "\n" + "x" * 899 + "y")]
+    rows += [(100, None), (101, ""), (102, " \n\n\t"), (103, "sho\nshO\nsho\nlonger\nlongar"), (None, base[0] + "\nonly in the last document"), (-5, base[1]), (104, "x" * 900 + "\n" + "x" * 899 + "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1))
     got = {x["doc_id"]: (x["n_lines"], x["n_exact"], x["n_near"], x["kept"]) for x in lines.decisions(docs).collect()}
     assert got == brute_lines(rows)
     out = {x["doc_id"]: x["text"] for x in lines.deduplicated(docs.drop("kept")).collect()}
-    assert out[100] is None and out[102] == " \n\n\t" and out[103] == "short\nshorT"
+    assert out[100] is None and out[102] == " \n\n\t" and out[103] == "sho\nshO\nlonger"
     assert all(out[k] == "\n".join(t.split("\n")[i] for i in v[3]) for k, t in rows if t and t.strip() and k is not None and k != 102 for v in [got[k]])
     assert lines.decisions(docs.where("false")).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(None, "one line of text\nanother line of text"), (None, "one line of text\na third line, quite unlike"), (7, "the same row\n\nall of it"), (7, "the same row\n\nall of it"), (7, "another row"), (7, None), (None, "in the end\nin the emd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_row": F.lit(1), "_again": F.lit("x"), "line": F.lit(2)})
+    one, two = (sorted(map(str, lines.decisions(d.repartition(n)).collect())) for d, n in ((docs, 1), (docs, 6)))
+    assert one == two and len(one) == len(rows)
+    got = lines.decisions(docs).collect()
+    assert sum(x["n_lines"] for x in got) == 11 and sum(x["n_exact"] for x in got) == 3 and sum(x["n_near"] for x in got) == 1 and sum(len(x["kept"]) for x in got) == 7
+    out = lines.deduplicated(docs)
+    assert out.columns == docs.columns
+    text = sorted((x["doc_id"] or -1, x["text"] or "") for x in out.collect())
+    assert [t for i, t in text if i == 7] == ["", "", "another row", "the same row\n\nall of it"] and sum(t.count("one line of text") for _, t in text) == 1
+
+
 def test_no_frequent_segment_is_left_out(spark):
     same = "the same beginning of a line " + "and the same end of it"
     rows = [(i, same[:29] + f"{i:05d} " + same[29:]) for i in range(120)]

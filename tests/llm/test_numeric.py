@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, minhash, mixing, tokenfile, topk
@@ -54,6 +55,19 @@ def test_top_k_ties_nulls_and_own(spark):
     assert topk.top_k(v, v.where("false")).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    big = 2.0**30
+    rows = [(0, [big, big]), (1, [big, -big]), (2, [1.0]), (2, [1.0]), (3, [big, big]), (3, [2.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, e array<double>").select("vec_id", topk.quantised(F.col("e")).alias("v"), F.lit(1).alias("rank"), F.lit(2).alias("qb"))
+    query = v.where("vec_id = 1")
+    got = [tuple(r) for r in topk.top_k(query, v, 6).orderBy("rank").collect()]
+    assert got == [(1, 1, 3, 512 * 2**38), (1, 2, 2, 2**46), (1, 3, 2, 2**46), (1, 4, 0, 0), (1, 5, 3, 0)]  # sums of products beyond 64 bits cancel
+    for e in ([2.0**60], [big, big]):
+        bad = spark.createDataFrame([(0, e), (1, e)], "vec_id long, e array<double>").select("vec_id", topk.quantised(F.col("e")).alias("v"))
+        with pytest.raises(Exception, match="range of long|too large|OverflowError"):
+            topk.top_k(bad, bad).collect()
+
+
 def test_mix_targets_and_limits(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("target", F.lit("x")).withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source")))
     rows = mixing.assigned(docs.drop("target"), word_count()).collect()
@@ -71,6 +85,16 @@ def test_mix_targets_and_limits(spark):
     assert mixing.assigned(docs.drop("target").where("false"), word_count()).count() == 0
 
 
+def test_mix_of_ties_and_null_ids(spark, monkeypatch):
+    rows = [(i % 5 if i % 3 else None, f"w{i % 4} x" * (i % 7), None if i % 4 == 0 else "s") for i in range(200)] + [(1, None, "s"), (1, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(0), "taken": F.lit("x"), "positions": F.lit(2)}).drop("size", "taken", "positions")
+    take = lambda d: sorted(map(str, mixing.assigned(d, word_count()).select("doc_id", "text", "source", "taken", "positions").collect()))
+    one = take(docs)
+    assert len(one) == len(rows) and one == take(docs.repartition(7))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0)
+    assert take(docs) == one
+
+
 def test_water_level():
     """Against repeated resharing."""
     from pyspark.sql import SparkSession
@@ -129,7 +153,8 @@ def test_token_files(spark, bpe, tmp_path):
     tokenfile.write_tokens(docs, path, bpe)
     got = sorted(tokenfile.digest(tokenfile.read_tokens(spark, path)).collect(), key=lambda r: r["start"])
     start = 0
-    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t or "", 42)).astype(np.int64))
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))), strict=True):
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
@@ -142,6 +167,40 @@ def test_token_files(spark, bpe, tmp_path):
     assert tokenfile.digest(tokenfile.read_tokens(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_token_files_that_are_split(spark, bpe, tmp_path):
+    """Files after each second row, as a session may ask for, several row groups and a very long row."""
+    rows = [(i, f"row {i} " * (i % 5)) for i in range(40)] + [(40, "long " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, tokenfile.token_output(docs, bpe).collect()))
+    plain = tokenfile.WRITER
+    try:
+        tokenfile.WRITER = plain | {"maxRecordsPerFile": "2", "parquet.block.size": "1024"}
+        tokenfile.write_tokens(docs, str(tmp_path / "split"), bpe)
+    finally:
+        tokenfile.WRITER = plain
+    assert len(list((tmp_path / "split").glob("*.parquet"))) > 15
+    assert sorted(map(tuple, tokenfile.digest(tokenfile.read_tokens(spark, str(tmp_path / "split"))).collect())) == want
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        assert sorted(map(tuple, tokenfile.token_output(docs, bpe).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_encoder_of_another_pattern(bpe, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    held = json.load(open(bpe))
+    held["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(held))
+    plain, texts = Tokenizer.from_file(str(tmp_path / "other.json")), ["one two", None, "", "a\nb  c"]
+    ids, at = tokenfile.Encoder(str(tmp_path / "other.json")).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 def brute_overlap(text, items, n=13):
     w, hit, ids = words(text), set(), set()
     for i, t in items:
@@ -155,6 +214,14 @@ def brute_overlap(text, items, n=13):
     return len(w), len(hit), len(ids), decontam.sha256_of(ids), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_decontamination_of_odd_rows(spark):
+    items = spark.createDataFrame([("i", "one two three"), (None, "four five"), ("j", "six " * 20)], "item_id string, text string")
+    rows = [(None, "one two three"), (None, "x"), (7, "Four, five"), (7, "Four, five"), (8, "six " * 200_000 + "seven"), (9, "six " * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontam.judged(decontam.overlaps(docs, items)).collect())
+    assert got == [(-1, 1, 0, False), (-1, 3, 3, True), (7, 2, 2, True), (7, 2, 2, True), (8, 200_001, 200_000, True), (9, 12, 0, False)]
+
+
 @pytest.mark.parametrize("block", [50_000, 5])
 def test_decontamination(spark, block):
     items = [(1, " ".join("abcdefghijklmnopq")), (2, "Short item"), (10, "one"), (3, ""), (4, None), (5, " ".join("cdefghijklmnoXY")), (6, "a a a a a a a a a a a a a a a a"), (2, "Short item")]

@@ -36,8 +36,10 @@ def test_pipeline(spark):
     total = sum(len(r["text"].split()) for r in free)
     assert abs(sum(len(r["text"].split()) for r in mix) - 1.5 * total) < 0.2 * total
     got = sorted(pipeline.STAGES[-1][1](spark, docs, SF).collect(), key=lambda r: r["start"])
-    start, plain = 0, tokenfile.Encoder(pipeline.TOKENIZER).tokenizer
-    for r, d in zip(got, sorted(mix, key=lambda r: (r["doc_id"], r["text"])), strict=True):
+    start, plain = 0, tokenfile.Encoder(pipeline.tokenizer()).tokenizer
+    place = {(r["f"], r["i"]): r for r in docs.selectExpr("*", "_metadata.file_name as f", "_metadata.row_index as i").collect()}
+    assert len(place) == len(mix)
+    for r, (_, d) in zip(got, sorted(place.items()), strict=True):
         code = np.array([*plain.encode(d["text"], add_special_tokens=False).ids, 2], "<u4")
         assert tuple(r) == (d["doc_id"], start, len(code), zlib.crc32(code.tobytes()))
         start += len(code)

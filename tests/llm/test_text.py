@@ -190,7 +190,13 @@ def test_main_text():
     assert pages.main_text(PAGE, None) == "Head & line One bold <x> next bit Two words here open Last"
     assert pages.main_text(None, None) == pages.main_text("", None) == pages.main_text("<p", None) == ""
     assert pages.main_text("a<b", None) == "a" and pages.main_text("<article>x &am", None) == "x &am"
-    assert pages.host_of("https://u@A.example:8/x") == "a.example" and pages.host_of("//b.c/x?y//z") == "b.c" and pages.host_of(None) == pages.host_of("x") == ""
+    assert pages.main_text("<div>" * 30_000 + "deep</b></p>" * 300, None).startswith("deep")
+
+
+def test_hosts(spark):
+    urls = {"https://u@A.example:8/x": "a.example", "//b.c/x?y//z": "b.c", "http://É.Org/": "É.org", "": "", "x": "", None: ""}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", pages.host_of(F.col("u")).alias("h")).collect()
+    assert {r["u"]: r["h"] for r in rows} == urls
 
 
 def test_templates_of_pages_without_marks(spark):
@@ -204,7 +210,10 @@ def test_templates_of_pages_without_marks(spark):
     assert got[90] == "" and got[91] == "A" and got[92].startswith("Welcome to us Text 1 of page") and got[93].startswith("Head & line")
     held = {x["host"]: x["template"] for x in pages.templates(df).collect()}
     assert set(held) == {"h0.org", "h1.org"}
-    assert pages.slots(rows[5][2], list(held["h0.org"]))[0][0].endswith("p")
+    template = pages._parsed(held["h0.org"])
+    found = pages.tokens(rows[5][2])
+    assert {t.text for t in found if t.key in template.valid(found)} == {"Welcome to us", "Shared words", "All rights reserved"}
+    assert pages.main_text(rows[5][2], None) == "Welcome to us Text 5 of page Shared words All rights reserved"
     assert pages.extracted(df.where("false")).count() == 0
     import unittest.mock as mock
 
@@ -227,7 +236,7 @@ def test_passages_that_the_stars_miss(spark):
             seeds = [(i, j) for i, x in enumerate(zip(*(words[a][k:] for k in range(6)))) for j, y in enumerate(zip(*(words[b][k:] for k in range(6)))) if x == y]
             x, y = (np.array([hash(w) & 0xFFFFFFFF for w in words[k]], np.uint32) for k in (a, b))
             for c in passages.chains(seeds) if seeds else []:
-                s, e, t, f, same = passages.align(x, y, c)
+                s, e, t, f, same, _, _ = passages.align(x, y, c)
                 if min(e - s, f - t) >= 50 and same >= 0.8:
                     brute.add((b, a, t, f, s, e))
     got = {tuple(x[k] for k in ("doc_id", "other_id", "start", "end", "other_start", "other_end")) for x in passages.repeated_passages(docs).collect()}
@@ -243,6 +252,40 @@ def test_templates_of_marked_pages(spark):
     assert got[41] == "Text 1 of page Tell your friends about us"
 
 
+def test_equivalence_classes_match_brute_force(spark):
+    """Tokens with equal occurrence vectors over a host's pages, by plain counting."""
+    r = random.Random(8)
+    rows = []
+    for i in range(40):
+        notes = "".join(f"<p class=n>note {k}</p>" for k in range(3) if r.random() < 0.7)
+        rows.append((i, "http://h.org/", f"<body><div class=top>Top</div>{notes}<div class=c><p>Text {i}</p>{'<ul><li>x<li>y</ul>' * r.randrange(3)}</div></body>"))
+    rows += [rows[0], rows[1]]  # repeated rows
+    counts = [{}for _ in rows]
+    for c, (_, _, page) in zip(counts, rows):
+        for t in pages.tokens(page):
+            c[t.key] = c.get(t.key, 0) + 1
+    vectors = {}
+    for k in {k for c in counts for k in c}:
+        v = tuple(c.get(k, 0) for c in counts)
+        if sum(x > 0 for x in v) >= len(rows) / 2:
+            vectors.setdefault(v, set()).add(k)
+    held = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(held) == 1 and {frozenset(k for k, _ in g) for g, _ in pages._parsed(held[0]["template"]).classes} == {frozenset(g) for g in vectors.values()}
+
+
+def test_templates_find_articles_without_names(spark):
+    """The real tables with semantic elements turned into div and attributes removed: the texts stay the same, and only by the templates."""
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    plain = F.regexp_replace(F.regexp_replace("html", r"<(/?)(?:article|main|nav|header|footer|aside|section)\b", "<$1div"), r'(<div)\s[^>]*>', "$1>")
+    bare = real.withColumn("html", plain)
+    want = {x["page_id"]: x["text"] for x in pages.extracted(real).collect()}
+    got = {x["page_id"]: (x["text"], pages.main_text(x["html"], None)) for x in pages.extracted(bare).collect()}
+    assert want.keys() == got.keys() and all(want.values())
+    hosts = {x["page_id"]: x["h"] for x in real.select("page_id", pages.host_of(F.col("url")).alias("h")).collect()}
+    many = [k for k in want if list(hosts.values()).count(hosts[k]) >= pages.LEAST_PAGES]
+    assert len(many) > 200 and all(got[k][0] == want[k] for k in many) and not any(got[k][1] == want[k] for k in many)
+
+
 def test_embedded_elements_end():
     assert pages.main_text("<article>a<svg width=1 />b<p>c<object data='x'/>d<p>e<canvas>f<p>g</article>", None) == "a b c d e f g"
     assert pages.main_text("<article>a <math><mi>x</mi></math> b<svg><text>no</text></svg><p>c<noscript>no</noscript></article>", None) == "a x b c"

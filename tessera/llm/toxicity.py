@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches
+from .common import Words, batches, bounded_batches, text_buffer
 from .learning import SAMPLE, Adam, scored, training_rows
 
 BITS = 18
@@ -64,50 +64,79 @@ class Model:
         return self.documents(Sentences(col))
 
 
-def fit(bucket: np.ndarray, sentence: np.ndarray, document: np.ndarray, y: np.ndarray, epochs: int = 60, decay: float = 2e-5) -> Model:
-    """Likelihood of the document labels under noisy-or. bucket: (features, words); sentence: of each word; document: of each sentence."""
-    used, place = np.unique(bucket.ravel(), return_inverse=True)
-    sentence = np.tile(sentence, len(bucket))
-    n = len(document)
-    w, b = np.zeros(len(used)), np.array([-6.0])
-    seen = np.bincount(place, minlength=len(used))
+#: Words that are looked at together in fitting.
+_SLICE = 1 << 17
+
+
+def fit(words: np.ndarray, first: np.ndarray, document: np.ndarray, y: np.ndarray, epochs: int = 60, decay: float = 2e-5) -> Model:
+    """Likelihood of the document labels under noisy-or, walking the documents slice by slice.
+
+    words: of each word its buckets, BITS each, in one number; first: where each sentence begins, in
+    ascending order, 0 first; document: of each sentence, in ascending order.
+    """
+    edge = np.searchsorted(document, np.arange(len(y) + 1))  # sentences of each document
+    ends = np.append(first, len(words))
+    cuts, lo = [], 0
+    while lo < len(y):
+        hi = max(lo + 1, int(np.searchsorted(ends[edge], ends[edge[lo]] + _SLICE, "right")) - 1)
+        cuts.append((lo, hi))
+        lo = hi
+    used = [k * BITS for k in range(1 + len(PREFIXES))]
+    buckets = lambda a, b: [(words[a:b] >> k & ((1 << BITS) - 1)) for k in used]
+    w, b, seen = np.zeros(1 << BITS), np.array([-6.0]), np.zeros(1 << BITS, np.int64)
     adam = Adam([w, b], 0.1)
-    for _ in range(epochs):
-        z = np.clip(np.bincount(sentence, w[place], n) + b[0], -_MOST, _MOST)
-        p = 1 / (1 + np.exp(-z))
-        none = np.exp(-np.bincount(document, _softplus(z), len(y)))
-        pull = np.where(y == 1, -np.minimum(none / np.maximum(1 - none, 1e-6), 50.0), 1.0)
-        g = p * pull[document] / len(y)
-        adam.step([np.bincount(place, g[sentence], len(used)) + decay, np.array([g.sum()])])
+    for epoch in range(epochs):
+        to_w, to_b = np.full(len(w), decay), 0.0
+        for lo, hi in cuts:
+            s, e = edge[lo], edge[hi]
+            if s == e:
+                continue
+            held = buckets(ends[s], ends[e])
+            z = np.clip(np.add.reduceat(sum(w[x] for x in held), first[s:e] - first[s]) + b[0], -_MOST, _MOST)
+            p = 1 / (1 + np.exp(-z))
+            of = document[s:e] - lo
+            none = np.exp(-np.bincount(of, _softplus(z), hi - lo))
+            pull = np.where(y[lo:hi] == 1, -np.minimum(none / np.maximum(1 - none, 1e-6), 50.0), 1.0)
+            g = p * pull[of] / len(y)
+            each = np.repeat(g, np.diff(ends[s : e + 1]))
+            for x in held:
+                to_w += np.bincount(x, each, len(w))
+                if not epoch:
+                    seen += np.bincount(x, minlength=len(w))
+            to_b += g.sum()
+        adam.step([to_w, np.array([to_b])])
         np.maximum(w, 0, out=w)  # evidence only: a long harmless sentence can't outweigh an insult in it
-    w[(np.abs(w) < 0.05) | (seen < 3)] = 0
-    table = np.zeros(1 << BITS, np.float32)
-    table[used] = w
-    return Model(table, float(b[0]))
+    w[(w < 0.05) | (seen < 3)] = 0
+    return Model(w.astype(np.float32), float(b[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
-    """A model of the bounded sample of training_rows; texts become word buckets on the executors."""
+    """A model of the bounded sample of training_rows; texts become numbers on the executors, 8 bytes a word, which the driver reads in place."""
     rows = training_rows(docs, labels, label, most)
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.binary()), ("firsts", pa.binary())])
 
     def cut(batch: pa.RecordBatch) -> list:
         s = Sentences(batch.column("text"))
         edge = np.searchsorted(s.row, np.arange(len(s.words) + 1))
-        words = [s.bucket[:, s.words.of_row[i] : s.words.of_row[i + 1]].tobytes() for i in range(len(s.words))]
+        packed = sum(x.astype(np.int64) << k * BITS for k, x in enumerate(s.bucket))
+        words = [packed[s.words.of_row[i] : s.words.of_row[i + 1]].tobytes() for i in range(len(s.words))]
         firsts = [(s.first[edge[i] : edge[i + 1]] - s.words.of_row[i]).astype(np.int32).tobytes() for i in range(len(s.words))]
         return [batch.column("doc_id"), batch.column("y"), words, firsts]
 
     bounded_batches(docs.sparkSession)
-    got = rows.mapInArrow(batches(cut, schema), "doc_id long, y int, words binary, firsts binary").toArrow().sort_by("doc_id")
-    words = [np.frombuffer(x, np.int32).reshape(1 + len(PREFIXES), -1) for x in got["words"].to_pylist()]
-    firsts = [np.frombuffer(x, np.int32) for x in got["firsts"].to_pylist()]
-    if not sum(w.size for w in words):
+    got = rows.mapInArrow(batches(cut, schema), "doc_id long, y int, words binary, firsts binary").toArrow().sort_by("doc_id").combine_chunks()
+
+    def numbers(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of a binary column, and how many each row has."""
+        col = got[name].cast(pa.large_binary()).combine_chunks() if got.num_rows else pa.array([], pa.large_binary())
+        flat, sizes = text_buffer(col)
+        return flat.view(kind), np.diff(sizes) // np.dtype(kind).itemsize
+
+    (words, n_words), (firsts, n_firsts) = numbers("words", np.int64), numbers("firsts", np.int32)
+    if not len(words):
         return Model(np.zeros(1 << BITS, np.float32), -6.0)
-    base = np.cumsum([0, *(w.shape[1] for w in words)])
-    starts = np.concatenate([f + o for f, o in zip(firsts, base, strict=False)])
-    sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, base[-1])))
-    return fit(np.concatenate(words, 1), sentence, np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]), got["y"].to_numpy())
+    base = np.cumsum(n_words) - n_words
+    return fit(words, firsts + np.repeat(base, n_firsts), np.repeat(np.arange(len(n_firsts)), n_firsts), got["y"].to_numpy())
 
 
 def classified(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

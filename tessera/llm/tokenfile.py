@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, bounded_batches, span_hashes, text_buffer
+from .common import batches, bounded_batches, shared_dir, span_hashes, text_buffer
 
 END_ID = 2
 #: Parquet writer: version 2 pages and no dictionary give DELTA_BINARY_PACKED ids; column and offset indexes are always written.
-WRITER = {"compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000"}
+WRITER = {"maxRecordsPerFile": "0", "compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000"}
 _SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 #: Kinds of bytes: control characters and spaces, printed ASCII other than letters, letters, and beyond ASCII.
 _LETTER, _PRINTED, _BEYOND = 2, 1, 3
@@ -29,11 +31,12 @@ _KIND[0x80:] = _BEYOND
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library, each different piece of text once.
 
-    The tokenizer's pattern always begins a new token after an ASCII letter that something else in
+    The known pattern of byte-level files always begins a new token after an ASCII letter that something else in
     ASCII follows, before a space that a printable ASCII character follows, and after a line feed
     between a printable ASCII character and an ASCII letter. Texts are cut there, so that the ids of a text are those of its pieces. The
     library encodes pieces that are new; their ids are kept by 64-bit hash in a table of a fixed size,
-    which is emptied when it is half full.
+    which is emptied when it is half full. Texts of a file with another pattern, or with a normaliser, are
+    encoded whole.
     """
 
     BITS = 22
@@ -44,6 +47,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        before = held.get("pre_tokenizer") or {}
+        self.known = not held.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self._clear()
 
     def _clear(self) -> None:
@@ -102,6 +109,9 @@ class Encoder:
     def encode(self, col: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and the offsets of each row's ids in them; end_id follows each row."""
         raw, rows = text_buffer(col)
+        if not self.known:
+            made = [e.ids + ([] if end_id is None else [end_id]) for e in self.tokenizer.encode_batch_fast(col.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(made), np.int32), np.cumsum([0, *map(len, made)])
         starts = self._cut(raw, rows) if len(raw) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
         parts, sizes = [], np.zeros(len(starts), np.int64)
@@ -142,10 +152,11 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID) -> None:
-    """Writes (doc_id, n_tokens, ids) in ascending doc_id order, file after file: a range shuffle, then a sort in each file.
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, order: list[Column] | None = None) -> None:
+    """Writes (doc_id, n_tokens, ids) in ascending doc_id order, or in that of the columns given, file after file: a range shuffle, then a sort in each file.
 
-    A null text is empty (its end id alone); a null doc_id comes first; rows of equal doc_id stand in order of their text.
+    A null text is empty (its end id alone); a null doc_id comes first; rows of equal doc_id stand in
+    order of a hash of their text, by which many of them can go to several files.
     """
     bounded_batches(docs.sparkSession)
 
@@ -154,16 +165,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         return [batch.column("doc_id"), np.diff(offsets), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))] if order is None else order
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = docs.select(*[k.alias(n) for n, k in zip(names, keys, strict=True)], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
     ordered.mapInArrow(batches(encode, schema), _SCHEMA).write.options(**WRITER).parquet(path)
 
 
+def file_place() -> Column:
+    """The place of a row's Parquet file among those of its folder: a task's number, then, where it was told to begin a new file after some rows, the file's."""
+    name = F.col("_metadata.file_name")
+    part, split = (F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0)) for pattern in (r"^part-(\d+)", r"-c(\d+)\."))
+    return part * (1 << 32) + split
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, file, row): file is the place of the file, row that of the row in it.
 
     Selecting columns reads those columns alone; a filter on doc_id skips row groups and pages.
     """
-    return spark.read.schema(_SCHEMA).parquet(path).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.schema(_SCHEMA).parquet(path).select("*", file_place().alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def with_starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -189,10 +210,8 @@ def digest(rows: DataFrame) -> DataFrame:
     return with_starts(found, rows.select("file", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, order: list[Column] | None = None) -> DataFrame:
     """Writes docs' ids in the shared folder and returns the digest of what was read back."""
-    import uuid
-
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer_path)
+    write_tokens(docs, path, tokenizer_path, order=order)
     return digest(read_tokens(docs.sparkSession, path))

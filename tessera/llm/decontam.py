@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mix, bounded_batches
+from .common import Words, batches, bounded_batches, mix
 
 WINDOW = 13
 #: Words of items in one automaton. More items are split over several, one pass over the documents each.
@@ -169,26 +170,38 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_word
     """
     out = docs.drop("n_words", "spans", "items").withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast("array<struct<start:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
     bounded_batches(docs.sparkSession)
+    some = False
     blocks = _blocks(items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text"), block_words)
-    for block in [x for x in blocks] or [[]]:
+    for block in blocks:  # the driver holds one at a time
         out = _pass(out, block, window)
-    return out
+        some = True
+    return out if some else _pass(out, [], window)
+
+
+#: Automata of this Python worker, which serves one task after another, by the number of their block.
+_built: dict[str, tuple[Automaton, Filter]] = {}
+
+
+def _automaton(name: str, block: list[tuple[str, str]], window: int) -> tuple[Automaton, Filter]:
+    if name not in _built:
+        w = Words(pa.array([t for _, t in block], pa.string()))
+        automaton = Automaton([(i, [w.word(k) for k in range(w.of_row[j], w.of_row[j + 1])]) for j, (i, _) in enumerate(block)], window)
+        if len(_built) >= 4:
+            _built.pop(next(iter(_built)))
+        _built[name] = automaton, Filter([t for _, t in block], automaton.least)
+    return _built[name]
 
 
 def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    held = docs.sparkSession.sparkContext.broadcast((block, window))
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, window))
     schema = to_arrow_schema(docs.schema)
-    built: list = []
 
     def find(batch: pa.RecordBatch) -> list:
-        if not built:
-            items, size = held.value
-            w = Words(pa.array([t for _, t in items], pa.string()))
-            automaton = Automaton([(i, [w.word(k) for k in range(w.of_row[j], w.of_row[j + 1])]) for j, (i, _) in enumerate(items)], size)
-            built.extend([automaton, Filter([t for _, t in items], automaton.least)])
-        automaton, runs = built
+        from tessera.llm import decontam  # the module, whose automata outlive this task
+
+        automaton, runs = decontam._automaton(*held.value)
         w = Words(batch.column("text"))
         spans: dict[int, list[tuple[int, int]]] = {}
         found: dict[int, set[str]] = {}

@@ -113,9 +113,10 @@ HEDGE_CATEGORIES = ["Uncertainty", "WeakModal", "StrongModal", "Constraining"]
 W_QUANT, W_HEDGE = 0.5, 0.5
 KW_THRESHOLD, CONTEXT, LEAST_ZONE = 1.0, 1, 150
 HEADER_BAND, FOOTER_BAND, RUNNING_SHARE, RUNNING_CHARS = 0.08, 0.92, 0.30, 120
-FLAGGED, GENUINE = "Potential ESG-washing", "Likely Genuine"
+# Labels of an index over 0 and of the others.
+FLAGGED, GENUINE = "Flagged", "Not flagged"
 TOPIC_COUNTS, TOPIC_ALPHAS, TOPIC_RUNS = (8, 12, 16, 20, 24), ("auto",), 5
 # Column headers of the result files.
 CORPUS_COLUMNS = {"document": "Documento", "country": "País", "company": "Compañía", "year": "Año", "doc_type": "TipoDocumento", "clean_text": "clean_text"}
-RESULT_COLUMNS = {"document": "Documento", "country": "País", "company": "Compañía", "year": "Año", "doc_type": "TipoDocumento", "sus": "SUS_Score", "sen": "SEN_Score", "quant": "QUANT_Score", "hedge": "HEDGE_Score", "idx": "ESGSI", "idx_ext": "ESGSI_ext", "label": "Etiqueta", "label_ext": "Etiqueta_ext"}
+RESULT_COLUMNS = {"document": "Documento", "country": "País", "company": "Compañía", "year": "Año", "doc_type": "TipoDocumento", "sus": "SUS_Score", "sen": "SEN_Score", "quant": "QUANT_Score", "hedge": "HEDGE_Score", "idx": "Index", "idx_ext": "Index_ext", "label": "Etiqueta", "label_ext": "Etiqueta_ext"}
 COHERENCE_COLUMNS = {"num_topics": "Num_topics", "alpha": "Alpha", "iter": "Iter", "c_v": "C_v", "u_mass": "U_mass", "c_npmi": "C_npmi"}

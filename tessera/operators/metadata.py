@@ -23,7 +23,7 @@ def sheet_to_long(sheet: DataFrame, country: str, company: str, years: list[str]
     kept = [c for c in years if (y := c.replace(".0", "")).isdigit() and 2000 <= int(y) <= 2100]
     rows = sheet.dropna(subset=[country, company]).withColumn("src_row", F.monotonically_increasing_id())
     rows = rows.select(F.upper(T.strip(F.col(country))).alias("country"), F.col(company).alias("company"), "src_row", *[F.col(f"`{c}`").cast("string").alias(c) for c in kept])
-    long = rows.unpivot(["country", "company", "src_row"], kept, "year", "doc_type")
+    long = rows.unpivot(["country", "company", "src_row"], [f"`{c}`" for c in kept], "year", "doc_type")
     return long.select("country", "company", T.year_number(F.col("year")).alias("year"), T.cell(F.col("doc_type")).alias("doc_type"), "src_row")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +15,7 @@ from ..functions import text as T
 from ..functions import vocab
 
 EPS = 1e-12
+log = logging.getLogger(__name__)
 
 
 def prepared(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS, min_df: int = 5, max_df: float = 0.85, most: int = 100_000) -> tuple[DataFrame, CountVectorizerModel]:
@@ -80,16 +83,38 @@ def keywords_table(terms: DataFrame) -> DataFrame:
 
 
 def _covered(toks: DataFrame, words: DataFrame, window: int | None) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, term, starts), (total)): starts of the windows in which a word occurs, 0 for whole documents; total counts all windows.
+    """((doc_id, term, spans), (total)): stretches (s, e) of starts of the windows in which a word occurs, (0, 0) for whole documents; total counts all windows.
 
-    Only topic words are looked at. A document shorter than the window is one window. starts is bounded by the document's length.
+    Only topic words are looked at. A document shorter than the window is one window. The windows of an
+    occurrence begin at its place or up to window - 1 before; touching stretches are one.
     """
     sizes = toks.groupBy("doc_id").agg(F.count("*").alias("n"))
     last = F.greatest(F.col("n") - (window or 0), F.lit(0)) if window else F.lit(0)
     total = sizes.agg(F.sum(last + 1).cast("double").alias("total"))
     hits = toks.join(F.broadcast(words), toks["token"] == words["term"], "left_semi").join(sizes, "doc_id")  # words: a few for each topic
-    span = F.sequence(F.greatest(F.col("place") - (window - 1), F.lit(0)), F.least(F.greatest(F.col("place"), F.lit(0)), last)) if window else F.array(F.lit(0))
-    return hits.withColumn("span", span.cast("array<long>")).groupBy("doc_id", F.col("token").alias("term")).agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("starts")), total
+    low, high = (F.greatest(F.col("place") - (window - 1), F.lit(0)), F.least(F.col("place"), last)) if window else (F.lit(0), F.lit(0))
+    hits = hits.select("doc_id", F.col("token").alias("term"), low.cast("long").alias("s"), high.cast("long").alias("e"))
+    order = Window.partitionBy("doc_id", "term").orderBy("s", "e")
+    new = hits.withColumn("new", F.coalesce(F.col("s") > F.lag("e").over(order) + 1, F.lit(True)).cast("int"))
+    runs = new.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "term", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), total
+
+
+def _length(spans: F.Column) -> F.Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"] + 1)
+
+
+def _overlap(a: F.Column, b: F.Column) -> F.Column:
+    """Numbers in both of two lists of ascending stretches, in one walk over both."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("n"))
+
+    def step(at: F.Column, _: F.Column) -> F.Column:
+        x, y = F.get(a, at["i"]), F.get(b, at["j"])
+        both = F.greatest(F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]) + 1, F.lit(0).cast("long"))
+        ends = (x["e"] <= y["e"]).cast("int")
+        return F.struct(F.coalesce(at["i"] + ends, at["i"]).alias("i"), F.coalesce(at["j"] + 1 - ends, at["j"]).alias("j"), (at["n"] + F.coalesce(F.when(x.isNotNull() & y.isNotNull(), both), F.lit(0).cast("long"))).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, step)["n"]
 
 
 def pair_counts(toks: DataFrame, topics: DataFrame, window: int | None) -> DataFrame:
@@ -98,11 +123,11 @@ def pair_counts(toks: DataFrame, topics: DataFrame, window: int | None) -> DataF
     toks: (doc_id, place, token), place from 0 without gaps; topics: (topic_id, rank, term).
     """
     seen, total = _covered(toks, topics.select("term").distinct(), window)
-    single = seen.groupBy("term").agg(F.sum(F.size("starts")).cast("double").alias("n"))
+    single = seen.groupBy("term").agg(F.sum(_length(F.col("spans"))).cast("double").alias("n"))
     a, b = topics.select("topic_id", F.col("rank").alias("i"), F.col("term").alias("wi")), topics.select("topic_id", F.col("rank").alias("j"), F.col("term").alias("wj"))
     pairs = a.join(b, "topic_id")
-    x, y = seen.select("doc_id", F.col("term").alias("wi"), F.col("starts").alias("si")), seen.select("doc_id", F.col("term").alias("wj"), F.col("starts").alias("sj"))
-    both = x.join(y, "doc_id").join(F.broadcast(pairs.select("wi", "wj").distinct()), ["wi", "wj"], "left_semi").groupBy("wi", "wj").agg(F.sum(F.size(F.array_intersect("si", "sj"))).cast("double").alias("nij"))
+    x, y = seen.select("doc_id", F.col("term").alias("wi"), F.col("spans").alias("si")), seen.select("doc_id", F.col("term").alias("wj"), F.col("spans").alias("sj"))
+    both = x.join(y, "doc_id").join(F.broadcast(pairs.select("wi", "wj").distinct()), ["wi", "wj"], "left_semi").groupBy("wi", "wj").agg(F.sum(_overlap(F.col("si"), F.col("sj"))).cast("double").alias("nij"))
     out = pairs.join(both, ["wi", "wj"], "left").join(single.select(F.col("term").alias("wi"), F.col("n").alias("ni")), "wi", "left").join(single.select(F.col("term").alias("wj"), F.col("n").alias("nj")), "wj", "left").crossJoin(F.broadcast(total))
     return out.na.fill(0.0, ["ni", "nj", "nij"])
 
@@ -131,10 +156,17 @@ def c_v(toks: DataFrame, topics: DataFrame, window: int = 110) -> DataFrame:
     return per.groupBy("topic_id").agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("c_v"))
 
 
-def coherence(toks: DataFrame, topics: DataFrame) -> DataFrame:
-    """One row: means of the three measures over topics."""
-    one = lambda df, c: df.agg(F.round(F.avg(c), 4).alias(c))
-    return one(c_v(toks, topics), "c_v").crossJoin(one(u_mass(toks, topics), "u_mass")).crossJoin(one(c_npmi(toks, topics), "c_npmi"))
+def coherence(toks: DataFrame, topics: DataFrame) -> tuple[float, float, float]:
+    """(c_v, u_mass, c_npmi): means over topics, rounded to 4 places; one that fails, or has no topic, is NaN, with a warning."""
+    out = []
+    for name, measure in (("c_v", c_v), ("u_mass", u_mass), ("c_npmi", c_npmi)):
+        try:
+            value = measure(toks, topics).agg(F.round(F.avg(name), 4)).first()[0]
+        except PySparkException as e:
+            log.warning("%s failed: %s", name, e)
+            value = None
+        out.append(float("nan") if value is None else float(value))
+    return tuple(out)
 
 
 def topic_sets(topics: DataFrame, by: list[str]) -> DataFrame:
@@ -147,20 +179,20 @@ def pair_jaccard(sets: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("jaccard"))
 
 
-def aligned(a: list[set[str]], b: list[set[str]]) -> float:
-    """Greedy alignment: each topic of a in order takes the best topic of b left, the first of equal ones; the sum over len(a)."""
-    free, total = list(range(len(b))), 0.0
-    for x in a:
-        best, at = -1.0, None
-        for j in free:
-            union = len(x | b[j])
-            s = len(x & b[j]) / union if union else 0.0
-            if s > best:
-                best, at = s, j
-        if at is not None:
-            free.remove(at)
-            total += best
-    return total / len(a) if a else 0.0
+def aligned(a: F.Column, b: F.Column) -> F.Column:
+    """Greedy alignment of two arrays of word arrays, as a fold over a: the state is what is left of b and the sum so far.
+
+    Each topic of a takes the most similar one left, that of the lowest place among equal ones; the sum goes over the topics of a, 0 without any.
+    """
+    places = F.transform(b, lambda _, j: j)
+    start = F.struct(places.alias("left"), F.lit(0.0).alias("total"))
+
+    def step(state: F.Column, words: F.Column) -> F.Column:
+        scores = F.transform(state["left"], lambda j: F.struct(T.jaccard(words, F.get(b, j)).alias("score"), (-j).alias("place")))
+        taken = lambda best: F.struct(F.filter(state["left"], lambda j: F.coalesce(j + best["place"] != 0, F.lit(True))).alias("left"), (state["total"] + F.coalesce(best["score"], F.lit(0.0))).alias("total"))
+        return T.let(F.array_max(scores), taken)
+
+    return F.coalesce(F.aggregate(a, start, step)["total"] / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
 
 
 def stability(topics: DataFrame) -> DataFrame:
@@ -168,12 +200,7 @@ def stability(topics: DataFrame) -> DataFrame:
     sets = topic_sets(topics, ["model", "topic_id"])
     models = sets.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "terms"))), lambda x: x["terms"]).alias("t"))
     pairs = models.select(F.col("model").alias("a"), F.col("t").alias("x")).join(models.select(F.col("model").alias("b"), F.col("t").alias("y")), F.col("a") < F.col("b"))
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([aligned([set(s) for s in p], [set(s) for s in q]) for p, q in zip(x, y, strict=True)], dtype=float)
-
-    per = pairs.select("a", "b", score("x", "y").alias("s"))
+    per = pairs.select("a", "b", aligned(F.col("x"), F.col("y")).alias("s"))
     return per.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("std"), F.count("*").alias("n_pairs"))
 
 
@@ -187,8 +214,8 @@ def compute_stability(rows: DataFrame, dictionary_model: CountVectorizerModel, k
 
 
 def grid(rows: DataFrame, dictionary_model: CountVectorizerModel, toks: DataFrame, counts: tuple = vocab.TOPIC_COUNTS, alphas: tuple = vocab.TOPIC_ALPHAS, runs: int = vocab.TOPIC_RUNS, max_iter: int = 50):  # noqa: ANN201
-    """Yields ((k, alpha, run), model, coherence row) over the grid; run is the seed. A measure that fails is NaN."""
-    rows = rows.persist()
+    """Yields ((k, alpha, run), model, coherence) over the grid, measured while rows and toks are held; run is the seed. A measure that fails is NaN."""
+    rows, toks = rows.persist(), toks.persist()
     try:
         for k in counts:
             for alpha in alphas:
@@ -197,6 +224,7 @@ def grid(rows: DataFrame, dictionary_model: CountVectorizerModel, toks: DataFram
                     yield (k, alpha, run), model, coherence(toks, top_terms(model, dictionary_model))
     finally:
         rows.unpersist()
+        toks.unpersist()
 
 
 def ranked_terms(toks: DataFrame, by: str, n: int) -> DataFrame:

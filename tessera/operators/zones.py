@@ -40,7 +40,8 @@ def units(blocks: DataFrame, pages: DataFrame, keywords: str | None = None) -> D
 
 def line_units(docs: DataFrame, headings: bool = False) -> DataFrame:
     """units of plain documents: each non-blank line is a paragraph, upper-case ones headings if asked for."""
-    lines = docs.select(F.col(DOC), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("text", T.clean_block(F.col("raw"))).where("text <> ''")
+    raw = docs.select(F.col(DOC), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = T.once(raw, "text", T.clean_block(F.col("raw"))).drop("raw").where("text <> ''")
     marker = T.is_heading(F.col("text")) if headings else F.lit(False)
     return lines.select(DOC, (F.row_number().over(Window.partitionBy(DOC).orderBy("line_no")) - 1).alias("unit_idx"), "text", marker.alias("is_marker"))
 
@@ -59,7 +60,8 @@ def paragraphs(unit: DataFrame) -> DataFrame:
 
 def counted(paras: DataFrame, keywords: str) -> DataFrame:
     """paragraphs with kw_count, word_count and density."""
-    out = paras.withColumn("kw_count", T.count(F.col("text"), keywords)).withColumn("word_count", F.size(T.words(F.col("text"))).cast("long"))
+    hits = F.struct(T.count(F.col("text"), keywords).alias("kw_count"), F.size(T.words(F.col("text"))).cast("long").alias("word_count"))
+    out = T.once(paras, "_n", hits).withColumns({"kw_count": F.col("_n.kw_count"), "word_count": F.col("_n.word_count")}).drop("_n")
     return out.withColumn("density", T.density(F.col("kw_count"), F.col("word_count")))
 
 
@@ -76,7 +78,8 @@ def zones(paras: DataFrame, keywords: str | None = None, threshold: float = voca
     piece = F.struct("para_idx", "text")
     joined = runs.groupBy(DOC, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "\n\n").alias("text"), F.min("para_idx").alias("lo"), F.max("para_idx").alias("hi"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.min_by("section", "para_idx").alias("section"))
     out = joined.where(F.length("text") >= least).withColumn("zone_id", F.row_number().over(Window.partitionBy(DOC).orderBy("start_char")) - 1)
-    hits = T.found(F.col("text"), keywords)
+    out = T.once(out, "hits", T.found(F.col("text"), keywords))
+    hits = F.col("hits")
     out = out.withColumn("kw_count", F.size(hits).cast("long")).withColumn("word_count", F.size(T.words(F.col("text"))).cast("long"))
     return out.select(DOC, "zone_id", "lo", "hi", "text", "start_char", "end_char", F.lit("keyword_zone").alias("source"), "section", "kw_count", F.array_sort(F.array_distinct(F.transform(hits, F.lower))).alias("keywords_found"), "word_count", F.round(T.density(F.col("kw_count"), F.col("word_count")), 4).alias("kw_density"))
 

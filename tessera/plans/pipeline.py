@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ def extract(blocks: DataFrame, pages: DataFrame, keywords: str | None = None, **
 
 
 def preprocess(texts: DataFrame, dim: DataFrame | None = None, stop_words: list[str] | None = None, lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, document, country, company, year, doc_type, clean_text) of (doc_id, path, relevant_text) rows; empty texts go."""
+    """(doc_id, document, country, company, year, doc_type, clean_text) of (doc_id, path, relevant_text) rows; empty texts go. stop_words: None for common English ones."""
+    stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     named = readers.with_path_parts(texts.where("relevant_text <> ''"))
     clean = lexical.clean_text(lexical.kept_tokens(lexical.tokens(named.select("doc_id", F.col("relevant_text").alias("text"))), stop_words, lemmas))
     out = named.join(clean, "doc_id").withColumn("year", T.year_of_name(F.col("document"))).where("clean_text <> ''")
@@ -30,13 +32,19 @@ def preprocess(texts: DataFrame, dim: DataFrame | None = None, stop_words: list[
     return out.select("doc_id", "document", "country", "company", "year", "doc_type", "clean_text")
 
 
+def reloaded(spark: SparkSession, path: str, dim: DataFrame | None = None) -> DataFrame:
+    """A corpus file with year and document type made again; a name without a year keeps the year of the file."""
+    stored = readers.corpus(spark, path).withColumn("doc_id", F.concat_ws("/", "country", "company", "document"))
+    year = T.year_of_name(F.col("document"))
+    stored = stored.withColumn("year", F.when(year == "N/A", F.coalesce("year", F.lit("N/A"))).otherwise(year))
+    return metadata.with_doc_type(stored, dim) if dim is not None else stored.withColumn("doc_type", F.coalesce("doc_type", F.lit("Unknown")))
+
+
 def score(corpus: DataFrame, positive: list[str], negative: list[str], hedges: list[str], terms: list[str] = vocab.TERMS, stem: bool = True, quant_source: DataFrame | None = None) -> DataFrame:
     """corpus with components, indices and labels. quant_source: (doc_id, text) of raw texts, as clean ones hold no numbers."""
-    docs = corpus.select("doc_id", F.col("clean_text").alias("text"))
-    parts = [scoring.breadth(docs, terms), scoring.polarity(docs, positive, negative, stem), scoring.quant(docs if quant_source is None else quant_source), scoring.hedge(docs, hedges)]
-    out = corpus
-    for p in parts:
-        out = out.join(p, "doc_id")
+    out = scoring.with_components(corpus, terms, positive, negative, hedges, stem=stem, text="clean_text")
+    if quant_source is not None:
+        out = out.drop("quant").join(scoring.quant(quant_source), "doc_id", "left").fillna(0.0, ["quant"])
     return scoring.indexed(out)
 
 
@@ -60,10 +68,7 @@ def run(spark: SparkSession, out: str, *, blocks: DataFrame | None = None, pages
         corpus = preprocess(texts.select("doc_id", "path", "relevant_text"), dim, stop_words)
         sinks.corpus(corpus, f"{out}/processed_texts.csv")
     elif corpus_path:
-        stored = readers.corpus(spark, corpus_path).withColumn("doc_id", F.concat_ws("/", "country", "company", "document"))
-        year = T.year_of_name(F.col("document"))
-        stored = stored.withColumn("year", F.when(year == "N/A", F.coalesce("year", F.lit("N/A"))).otherwise(year))
-        corpus = metadata.with_doc_type(stored, dim) if dim is not None else stored.withColumn("doc_type", F.coalesce("doc_type", F.lit("Unknown")))
+        corpus = reloaded(spark, corpus_path, dim)
     if corpus is None:
         log.info("nothing to do without preprocessing or a corpus")
         return None
@@ -75,7 +80,7 @@ def run(spark: SparkSession, out: str, *, blocks: DataFrame | None = None, pages
         options = topic_options or {}
         rows, words = topics.prepared(corpus, min_df=options.get("min_df", 5), max_df=options.get("max_df", 0.85))
         toks = rows.select("doc_id", F.posexplode("tokens").alias("place", "token"))
-        table = None
+        table = []
         for (k, alpha, n), model, row in topics.grid(rows, words, toks, options.get("counts", vocab.TOPIC_COUNTS), options.get("alphas", vocab.TOPIC_ALPHAS), options.get("runs", vocab.TOPIC_RUNS), options.get("max_iter", 50)):
             folder = sinks.run_folder(f"{out}/topics", alpha, k, n)
             sinks.topic_keywords(topics.top_terms(model, words), f"{folder}/lda_topics_keywords.csv")
@@ -83,8 +88,7 @@ def run(spark: SparkSession, out: str, *, blocks: DataFrame | None = None, pages
             sinks.dictionary(topics.dictionary(rows, words), f"{folder}/dictionary_readable.txt")
             sinks.model(model, f"{folder}/model")
             sinks.model(words, f"{folder}/dictionary")
-            row = row.select(F.lit(k).alias("num_topics"), F.lit(str(alpha)).alias("alpha"), F.lit(n).alias("iter"), "c_v", "u_mass", "c_npmi")
-            table = row if table is None else table.union(row)
-        if table is not None:
-            sinks.coherence(table, f"{out}/coherence.csv")
+            table.append((k, str(alpha), n, *row))
+        if table:
+            sinks.coherence(spark.createDataFrame(table, "num_topics int, alpha string, iter int, c_v double, u_mass double, c_npmi double"), f"{out}/coherence.csv")
     return scores if scores is not None else corpus

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocab
 from ..operators import lexical, metadata, scoring, topics
 from ..operators import zones as Z
 
@@ -247,7 +248,148 @@ def aligned_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.compute_stability(rows, words, 4, 2, 10)
 
 
-_ALL = (clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, lda_topics, lda_doc_topics, aligned_stability)
+#: Phrases that hold terms, each of the extra patterns, and near misses.
+PHRASES = ["Carbon emissions", "CO2e and CO2", "scope 3", "scope two", "water stewardship", "social impact", "energy mix", "human rights", "human-rights", "net zero", "circular economy", "Paris  agreement", "health and safety", "employee wellness", "supply chain risk", "responsible sourcing", "double materiality", "transition plan", "renewable energy", "wind power", "tonnes co2", "science-based targets", "UN SDG", "sustainably", "decarbonised", "recycling", "offsetting", "social energy", "scope 4", "esgs", "netzero", "plain words"]
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, key = F.array(*[F.lit(x) for x in PHRASES]), F.col("o_orderkey")
+    pick = lambda n: F.get(held, ((key * n) % len(PHRASES)).cast("int"))
+    return _load(spark, sf_dir, "orders").select("o_orderkey", F.concat(pick(1), F.lit(" with "), pick(7), F.when(key % 2 == 0, "\n\n").otherwise(" "), pick(11)).alias("text"))
+
+
+def keyword_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the whole default vocabulary, terms and extra patterns, in phrases made of order keys."""
+    hits = F.col("hits")
+    out = T.once(_phrases(spark, sf_dir), "hits", T.found(F.col("text"), T.keyword_pattern()))
+    return out.select("o_orderkey", F.size(hits).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform(hits, F.lower))), ",").alias("keywords"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files of pages: two lines are a block, ten blocks a page. The first block of a page is a running header, which some pages repeat in the body; lines of some documents are short."""
+    lines = F.split("text", "\n")
+    cut = lambda x: F.when(F.col("doc_id") % 5 == 0, F.substring(x, 1, 40)).otherwise(x)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lines) / 2).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.transform(F.slice(lines, i * 2 + 1, 2), cut), "\n"))
+    held = _ascii(spark, sf_dir).select("doc_id", F.posexplode(pairs).alias("block_no", "raw"))
+    held = held.withColumns({"page_no": F.floor(F.col("block_no") / 10).cast("int"), "at": F.col("block_no") % 10})
+    head = F.concat(F.lit("Report page "), F.col("page_no").cast("string"))
+    text = F.when((F.col("at") == 0) | ((F.col("at") == 5) & (F.col("doc_id") % 3 == 0)), head).when((F.col("at") == 3) & (F.col("doc_id") % 2 == 0), "SECTION HEADING").when(F.col("at") == 7, F.concat(F.lit("12 345 "), F.col("doc_id").cast("string"))).otherwise(F.col("raw"))
+    y = F.col("at") * F.lit(83.0)
+    blocks = held.select("doc_id", "page_no", "block_no", ((F.col("block_no") * 7) % 3).cast("double").alias("x0"), y.alias("y0"), (y + 50.0).alias("y1"), text.alias("text"), F.when(F.col("block_no") % 13 == 12, 1).otherwise(0).alias("btype"), F.lit(800.0).alias("page_h"))
+    return blocks, blocks.select("doc_id", "page_no").distinct()
+
+
+def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of page blocks: reading order, bands, running headers, tables of one and two lines, headings, offsets, sections."""
+    out = Z.paragraphs(Z.units(*_blocks(spark, sf_dir), KEYWORDS))
+    return out.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), F.md5("text").alias("text_md5"), "start_char", "end_char", F.col("section_idx").cast("long").alias("section_idx"), "section")
+
+
+def metadata_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form of a sheet made of suppliers: rows without a country go, so do columns of no year; the last row of a key counts."""
+    k = F.col("s_suppkey")
+    cell = lambda n: F.when(k % n == 0, "0").when(k % n == 1, F.concat(F.lit(" type "), (k % 9).cast("string"), F.lit(" ")))
+    sheet = _load(spark, sf_dir, "supplier").select(F.when(k % 11 != 0, F.concat(F.lit(" land "), (k % 3).cast("string"))).alias("country"), F.concat(F.lit("Société  n.º "), (k % 7).cast("string"), F.lit(", S.A.")).alias("company"), F.lit("x").alias("note"), cell(2).alias("2018"), cell(3).alias("2019.0"), cell(4).alias("1999"))
+    return metadata.dimension(metadata.sheet_to_long(sheet.coalesce(1), "country", "company", ["note", "2018", "2019.0", "1999"]))
+
+
+COMPANIES = ["Vinci S.A", "BBVA", "l'Oréal s.a.", "Grupo ING, NV", "Infineon Technologies AG", "total  S A", "Unknown & Sons", "AXA S.A"]
+
+
+def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("int")
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), F.floor(k / n).cast("int") % len(xs))
+    rows = _load(spark, sf_dir, "customer").select("c_custkey", pick([" españa", "Alemania", "Chile "], 1).alias("country"), pick(COMPANIES, 3).alias("company"))
+    return metadata.with_keys(rows).select("c_custkey", "country_key", "company_norm")
+
+
+STOP = ["the", "and", "that"]
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("data/pdf/"), "lang", F.lit("/"), "source", F.lit("/"), F.when(F.col("doc_id") % 3 == 0, "rep").when(F.col("doc_id") % 3 == 1, "AR").otherwise("x"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return _ascii(spark, sf_dir).select("doc_id", path.alias("path"), F.col("text").alias("relevant_text"))
+
+
+def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean texts without stop-words, with the parts and the year of a path."""
+    from .pipeline import preprocess
+
+    return preprocess(_texts(spark, sf_dir), stop_words=STOP).select("doc_id", "document", "country", "company", "year", "doc_type", F.md5("clean_text").alias("clean_md5"))
+
+
+def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus file as written and read again; names without a year keep theirs."""
+    from ..sources import sinks
+    from .pipeline import preprocess, reloaded
+
+    path = sinks.scratch(spark, "corpus")
+    sinks.corpus(preprocess(_texts(spark, sf_dir), stop_words=STOP), path)
+    return reloaded(spark, path).select("document", "country", "company", "year", "doc_type", F.md5("clean_text").alias("clean_md5"))
+
+
+def zone_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone files as written, one folder for each document, and read again."""
+    from ..sources import readers, sinks
+
+    path = sinks.scratch(spark, "zones")
+    files = readers.with_path_parts(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit("data/pdf/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path")))
+    sinks.zones(_zones(spark, sf_dir), files, path)
+    return readers.zone_files(spark, path).select("file", "path", "zone_path", F.size("zones").cast("long").alias("n_zones"), F.get(F.col("zones.source"), F.lit(0)).alias("zone_source"), F.md5("relevant_text").alias("text_md5"))
+
+
+def result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import sinks
+
+    path = sinks.scratch(spark, "results")
+    blank = {c: F.lit("") for c in ("country", "company", "year", "doc_type")}
+    sinks.results(_scored(spark, sf_dir).withColumns(blank).withColumn("document", F.col("doc_id").cast("string")), path)
+    names = {c: a for a, c in vocab.RESULT_COLUMNS.items()}
+    rows = spark.read.option("sep", ";").option("header", True).csv(path).withColumnsRenamed(names)
+    return rows.select(F.col("document").cast("long").alias("doc_id"), F.col("sen").cast("double").alias("sen"), F.col("idx").cast("double").alias("idx"), F.col("label"))
+
+
+WORDS_FILE = ["# a note", " Carbon ", "", "solar", "carbon", "Wind"]
+LEXICON = [("THAT", "WeakModal"), ("with", "Uncertainty"), ("this", "Constraining"), ("from", "StrongModal"), ("from", "Uncertainty"), ("the", "Positive")]
+
+
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word list and the hedging words of a lexicon, as written and read again."""
+    from ..sources import readers, sinks
+
+    lists, lexicon = sinks.scratch(spark, "list"), sinks.scratch(spark, "lexicon")
+    spark.createDataFrame([(w,) for w in WORDS_FILE], "value string").coalesce(1).write.text(lists)
+    spark.createDataFrame(LEXICON, "word string, sentiment string").write.option("header", True).csv(lexicon)
+    kinds = {"terms": readers.word_list(spark, lists), "lines": readers.word_list(spark, lists, comments=False), "hedges": scoring.hedge_words(readers.lexicon(spark, lexicon))}
+    return spark.createDataFrame([(k, w) for k, ws in kinds.items() for w in ws], "list string, word string")
+
+
+def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of the topic corpus."""
+    return topics.dictionary(*_corpus(spark, sf_dir)).select("word", "df")
+
+
+def _model_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return topics.ranked_terms(_tokens(spark, sf_dir), "source", 10).select((n % 3).alias("model"), F.floor(n / 3).cast("int").alias("topic_id"), F.col("token").alias("term"))
+
+
+def topic_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as topics of three models."""
+    return topics.stability(_model_topics(spark, sf_dir)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_pairs")
+
+
+def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = topics.ranked_terms(_tokens(spark, sf_dir), "lang", 5).select(F.col("lang").alias("topic_id"), "rank", F.col("token").alias("term"), (F.col("n") / 1000.0).alias("weight"))
+    return topics.keywords_table(top)
+
+
+def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("probabilities"))
+    return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
+
+
+_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -319,8 +461,63 @@ pr as (select a.topic_id, a.rank as i, b.rank as j, coalesce(x.n, 0) as ni, coal
 pm as (select *, case when ni > 0 and nj > 0 then ln((nij / total + 1e-12::double) / (ni / total * (nj / total))) / -ln(nij / total + 1e-12::double) else 0.0 end as v from pr)"""
 
 
+def _list(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def _forms(words: list[str]) -> list[str]:
+    """Words that have the stem of one of these: it and up to two endings."""
+    ends = ["", "s", "es", "e", "ed", "ing", "er", "ers", "ly", "al", "ful", "ness", "ment", "able", "ible", "ant", "ent", "ion", "ions", "ation", "ism", "ate", "ous", "ive", "ize", "y", "ies", "ied", "i", "ance", "ence", "ic", "ical", "ous", "ement", "iti", "or"]
+    stems = {lexical.porter_stem(w) for w in words}
+    bases = stems | {s + s[-1] for s in stems} | set(words)
+    return sorted({c for b in bases for x in ends for y in ends if lexical.porter_stem(c := b + x + y) in stems})
+
+
+def _more_sql() -> dict[str, str]:
+    ws, name = _WS, lambda c: f"trim(regexp_replace(regexp_replace(strip_accents(upper(trim({c}))), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    cell = lambda n: f"case when s_suppkey % {n} = 1 then 'type ' || (s_suppkey % 9) end"
+    stripped = lambda c: f"regexp_replace({c}, '^{ws}+|{ws}+$', '', 'g')"
+    short = stripped("x")
+    blocks = f"""
+bl0 as (select doc_id, string_split({_ASCII}, chr(10)) as l from documents),
+bl1 as (select doc_id, unnest(range(cast(ceil(len(l) / 2) as bigint))) as block_no, l from bl0),
+bl2 as (select doc_id, block_no, block_no // 10 as page_no, block_no % 10 as pos, array_to_string(list_transform(l[2 * block_no + 1 : 2 * block_no + 2], lambda x: case when doc_id % 5 = 0 then substr(x, 1, 40) else x end), chr(10)) as raw from bl1),
+bl as (select doc_id, block_no, page_no, pos * 83.0 as y0, pos * 83.0 + 50 as y1, (block_no * 7) % 3 as x0, block_no % 13 = 12 as image,
+  {stripped("case when pos = 0 or pos = 5 and doc_id % 3 = 0 then 'Report page ' || page_no when pos = 3 and doc_id % 2 = 0 then 'SECTION HEADING' when pos = 7 then '12 345 ' || doc_id else raw end")} as t from bl2),
+np as (select doc_id, count(distinct page_no) as n_pages from bl group by doc_id),
+bd as (select *, (y1 < 64 or y0 > 736) as band, regexp_replace(t, '[0-9]+', '#', 'g') as key from bl where not image),
+rn as (select doc_id, key from (select doc_id, key, count(*) as n from bd where band and t <> '' and len(t) <= 120 group by all) join np using (doc_id) where n / n_pages > 0.30),
+bo as (select *, string_split(t, chr(10)) as ls from bd where not band and t <> '' and (doc_id, key) not in (select (doc_id, key) from rn)),
+ok as (select *, regexp_matches(t, '{_KW}') or not (len(regexp_replace(t, '[^0-9]', '', 'g')) / len(t) > 0.35 and len(ls) <= 6 or len(ls) >= 2 and len(list_filter(ls, lambda x: len({short}) >= 60)) = 0 and not regexp_matches(regexp_replace(ls[1], '{ws}+$', ''), '[.!?:]$')) as fine from bo),
+un as (select doc_id, {_CLEAN.format('t')} as text, {_HEADING} as is_marker, page_no, y0, x0, block_no from ok where fine),
+us as (select *, len(text) + case when is_marker then 4 else 0 end as size, row_number() over (partition by doc_id order by page_no, y0, x0, block_no) as u from un where text <> ''),
+""" + _UNITS.split("from un),\n", 1)[1].format(marker="")
+    clean = f"""pp as (select doc_id, lang, source, (case doc_id % 3 when 0 then 'rep' when 1 then 'AR' else 'x' end) || lpad(cast(doc_id % 100 as varchar), 2, '0') || '_' || doc_id || '.pdf' as document,
+  array_to_string(list_filter(regexp_extract_all(lower(regexp_replace({_ASCII}, 'https?://\\S+|www\\.\\S+', '', 'g')), '[a-z0-9]+'), lambda x: regexp_matches(x, '^[a-z]+$') and len(x) > 2 and x not in {_in(STOP)} and x not in {_in(sorted(set(vocab.STOP_WORDS)))}), ' ') as t from documents),
+py as (select *, coalesce(nullif(regexp_extract(document, '20\\d{{2}}'), ''), '20' || nullif(regexp_extract(document, '(?i)(?:ar|report)(\\d{{2}})\\b', 1), ''), 'N/A') as year from pp where t <> '')"""
+    aliases = {k: T.normal_name(v) for k, v in vocab.COMPANY_ALIASES.items()}
+    case = lambda c, table: f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + f" else {c} end"
+    plus, minus = (f"len(list_filter(t, lambda x: x in {_in(_forms(x))}))" for x in (POSITIVE, NEGATIVE))
+    return {
+        "keyword_pattern_hits": f"with x as (select o_orderkey, {_list(PHRASES)}[o_orderkey % {len(PHRASES)} + 1] || ' with ' || {_list(PHRASES)}[o_orderkey * 7 % {len(PHRASES)} + 1] || case when o_orderkey % 2 = 0 then chr(10) || chr(10) else ' ' end || {_list(PHRASES)}[o_orderkey * 11 % {len(PHRASES)} + 1] as t from orders), h as (select o_orderkey, regexp_extract_all(t, '{T.keyword_pattern()}') as h from x) select o_orderkey, len(h) as n, array_to_string(list_sort(list_distinct(list_transform(h, lambda x: lower(x)))), ',') as keywords from h",
+        "page_units": f"with {blocks} select doc_id, para_idx, md5(text) as text_md5, start_char, end_char, section_idx, section from p",
+        "metadata_dimension": f"with x as (select s_suppkey, upper('land ' || (s_suppkey % 3)) as country, 'SOCIETE N ' || (s_suppkey % 7) || ' S A' as company_norm, unnest([2018, 2019]) as year, unnest([{cell(2)}, {cell(3)}]) as doc_type from supplier where s_suppkey % 11 <> 0) select country, company_norm, cast(year as integer) as year, doc_type from x qualify row_number() over (partition by country, company_norm, year order by s_suppkey desc) = 1",
+        "company_keys": f"with x as (select c_custkey, upper(trim([' españa', 'Alemania', 'Chile '][c_custkey % 3 + 1])) as c, {name(_list(COMPANIES) + '[c_custkey // 3 % ' + str(len(COMPANIES)) + ' + 1]')} as n from customer) select c_custkey, {case('c', vocab.COUNTRY_ALIASES)} as country_key, {case('n', aliases)} as company_norm from x",
+        "preprocessed": f"with {clean} select doc_id, document, lang as country, source as company, year, 'Unknown' as doc_type, md5(t) as clean_md5 from (select * exclude (source, lang), source, lang from py)",
+        "corpus_round_trip": f"with {clean} select document, lang as country, source as company, year, 'Unknown' as doc_type, md5(t) as clean_md5 from py",
+        "zone_file_round_trip": f"with {_ZONES}, zz as (select doc_id, count(*) as n_zones, md5(string_agg(text, repeat(chr(10), 4) order by start_char)) as text_md5 from z group by doc_id) select doc_id || '.pdf' as file, 'data/pdf/' || lang || '/' || source || '/' || doc_id || '.pdf' as path, 'data/chunks_lexical/' || lang || '/' || source || '/' || doc_id || '.json' as zone_path, n_zones, 'keyword_zone' as zone_source, text_md5 from zz join documents using (doc_id)",
+        "result_round_trip": f"with {_INDEX} select doc_id, round(sen, 4) as sen, round(idx, 4) as idx, case when idx > 0 then 'Flagged' else 'Not flagged' end as label from ix join co using (doc_id)",
+        "word_lists": "select * from (values " + ", ".join(f"('{k}', '{w}')" for k, ws in {"terms": ["carbon", "solar", "wind"], "lines": WORDS_FILE, "hedges": ["from", "that", "this", "with"]}.items() for w in ws) + ") as v(list, word)",
+        "dictionary_terms": f"with w as (select doc_id, unnest({_WORDS.format(f'lower({_ASCII})')}) as word from documents), f as (select word, count(distinct doc_id) as df from w where word not in {_in(sorted(set(vocab.TOPIC_STOP_WORDS)))} group by word) select word, df from f where df >= 5 and df <= 0.85 * (select count(*) from documents)",
+        "topic_stability": f"with recursive {_TOK}, ct as (select source, token, count(*) as n from tk group by all), rt as (select cast(regexp_extract(source, '(\\d+)$', 1) as integer) as k, token from ct qualify row_number() over (partition by source order by n desc, token) <= 10), st as (select k % 3 as model, k // 3 as topic_id, list(token) as terms from rt group by k), mo as (select model, list(terms order by topic_id) as t from st group by model), r as (select x.model as a, y.model as b, x.t as x, y.t as y, 1 as i, range(1, len(y.t) + 1) as free, 0.0::double as total from mo x join mo y on x.model < y.model union all select a, b, x, y, i + 1, list_filter(free, lambda j: best is null or j <> -best.p), total + coalesce(best.s, 0) from (select *, list_max(list_transform(free, lambda j: {{'s': len(list_intersect(x[i], y[j])) / len(list_distinct(list_concat(x[i], y[j]))), 'p': -j}})) as best from r where i <= len(x))), f as (select total / len(x) as s from r where i = len(x) + 1) select round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std, count(*) as n_pairs from f",
+        "topic_keywords": f"with {_TOK}, c as (select lang, token, count(*) as n from tk group by all), r as (select *, row_number() over (partition by lang order by n desc, token) as rank from c) select lang as \"Topic_ID\", string_agg(token || ' (' || cast(round(n / 1000.0, 3)::double as varchar) || ')', ', ' order by rank) as \"Keywords\" from r where rank <= 5 group by lang",
+        "topic_distribution": "select vec_id as doc_id, cast(list_position(embedding, list_max(embedding)) - 1 as integer) as dominant_topic, " + ", ".join(f'embedding[{i + 1}]::double as "Topic_{i}"' for i in range(3)) + " from embeddings",
+        "polarity_stemmed": f"with t as (select doc_id, regexp_extract_all(lower({_ASCII}), '[a-z]+') as t from documents), n as (select doc_id, {plus} as p, {minus} as n from t) select doc_id, round((p - n) / (p + n + 1e-6::double), 6) as sen from n",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    label = lambda c: f"case when {c} > 0 then 'Potential ESG-washing' else 'Likely Genuine' end"
+    label = lambda c: f"case when {c} > 0 then 'Flagged' else 'Not flagged' end"
     line = "case when l_linenumber % 2 = 0 then 'quantity of the ordered part and its number ' else '' end || l_partkey || ' ' || l_suppkey || case when l_linenumber % 3 = 0 then ' orre' else '' end"
     year = "coalesce(nullif(regexp_extract(name, '20\\d{2}'), ''), '20' || nullif(regexp_extract(name, '(?i)(?:ar|report)(\\d{2})\\b', 1), ''), 'N/A')"
     types = "ty as (select doc_id, cast(2018 as integer) as year, case when quality <> 0 then cast(quality as varchar) end as doc_type from labels union all select doc_id, cast(2019 as integer), case when toxic <> 0 then cast(toxic as varchar) end from labels)"
@@ -360,4 +557,4 @@ def oracle_sql() -> dict[str, str]:
         "coherence_npmi": f"with {_coherence(10)} select topic_id, round(avg(v), 6) as c_npmi from pm where i <> j group by topic_id",
         "coherence_cv": f"with {_coherence(110)}, ss as (select topic_id, j, sum(v) as s from pm group by all), cs as (select topic_id, i, sum(v * s) / nullif(sqrt(sum(v * v)) * sqrt(sum(s * s)), 0) as c from pm join ss using (topic_id, j) group by all) select topic_id, round(avg(coalesce(c, 0)), 6) as c_v from cs group by topic_id",
     }
-    return out
+    return out | _more_sql()

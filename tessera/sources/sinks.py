@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vocab
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a file's round trip: in the shared folder of spark.checkpoint.dir, or a temporary one of a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def _csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.write.mode("overwrite").option("sep", sep).option("header", True).option("escape", '"').csv(path)
 
@@ -16,21 +30,25 @@ def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(a).alias(c) for a, c in names.items()])
 
 
-def zones(zone: DataFrame, files: DataFrame, path: str) -> None:
-    """One JSON line for each document with zones, in folders of country and company; files: (doc_id, document, path, country, company)."""
+def zones(zone: DataFrame, files: DataFrame, path: str, per_document: bool = True) -> None:
+    """JSON of each document with zones, in folders of country, company and, per_document, document; files: (doc_id, document, path, country, company).
+
+    zone_path is where a tree that mirrors the documents' own would hold it.
+    """
     held = F.struct("text", "start_char", "end_char", "source", "section", "kw_count", "keywords_found", "word_count", "kw_density")
     per = zone.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_char", held.alias("z")))), lambda x: x["z"]).alias("zones"))
     out = per.withColumn("relevant_text", F.array_join(F.transform("zones", lambda z: z["text"]), "\n\n\n\n")).join(files, "doc_id")
-    out.select(F.col("document").alias("file"), "path", "zones", "relevant_text", "country", "company").write.mode("overwrite").partitionBy("country", "company").json(path)
+    by = ["country", "company", "document"] if per_document else ["country", "company"]
+    out.select(F.col("document").alias("file"), "path", T.zone_path(F.col("path")).alias("zone_path"), "zones", "relevant_text", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def corpus(df: DataFrame, path: str) -> None:
     _csv(_named(df.where("clean_text <> ''"), vocab.CORPUS_COLUMNS), path)
 
 
-def results(df: DataFrame, path: str) -> None:
+def results(df: DataFrame, path: str, columns: dict[str, str] = vocab.RESULT_COLUMNS) -> None:
     numbers = ("sus", "sen", "quant", "hedge", "idx", "idx_ext")
-    _csv(_named(df.withColumns({c: F.round(c, 4) for c in numbers}), vocab.RESULT_COLUMNS), path)
+    _csv(_named(df.withColumns({c: F.round(c, 4) for c in numbers}), columns), path)
 
 
 def topic_keywords(terms: DataFrame, path: str) -> None:

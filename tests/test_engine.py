@@ -155,7 +155,10 @@ def test_tokens_and_stems(spark):
 
 
 def test_topic_measures(spark):
-    assert topics.aligned([{"a"}, {"b"}], [{"b"}, {"a"}]) == 1 and topics.aligned([{"a"}, {"b"}], [{"a"}]) == 0.5 and topics.aligned([], []) == 0
+    pairs = [([["a"], ["b"]], [["b"], ["a"]]), ([["a"], ["b"]], [["a"]]), ([], []), ([["a", "b"], ["a"]], [["a", "c"], ["a", "d"], ["a"]])]
+    lists = spark.createDataFrame(pairs, "a array<array<string>>, b array<array<string>>").select(topics.aligned(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in lists] == pytest.approx([1.0, 0.5, 0.0, (0.5 + 0.5) / 2])
+    assert math.isnan(topics.coherence(spark.createDataFrame([], "doc_id int, place int, token string"), spark.createDataFrame([(0, 0, "a")], "topic_id int, rank int, term string"))[1])
     docs = ["a b c a", "a c d e f g", "b d", "c"]
     toks = spark.createDataFrame([(i, k, w) for i, d in enumerate(docs) for k, w in enumerate(d.split())], "doc_id int, place int, token string")
     words = ["a", "b", "c", "zz"]

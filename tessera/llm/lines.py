@@ -153,12 +153,15 @@ def _keys(n: Column, wide: Column, edits: int) -> tuple[list[Column], list[Colum
 
 
 def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The lines whose id is in ids (id). A bitmap of hashed ids, of a bounded size, leaves out most others, so that their texts aren't shuffled; a join decides."""
+    """The lines whose id is in ids (id, distinct). A bitmap of hashed ids, of a bounded size, leaves out most others, so that their texts aren't shuffled; a join decides.
+
+    That join is an inner one: a semi join would be pushed below that with the bitmap, and all texts shuffled.
+    """
     mark = F.xxhash64(F.lit(1), "id")
     slot, bit = F.pmod(mark, F.lit(_SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mark, 32), F.lit(64)).cast("int"))
     marks = ids.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_word"))
     some = lines.withColumn("_slot", slot).join(F.broadcast(marks), "_slot").where(F.col("_word").bitwiseAND(bit) != 0)
-    return some.drop("_slot", "_word").join(ids, "id", "left_semi")
+    return some.drop("_slot", "_word").join(ids, "id")
 
 
 def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:

@@ -24,6 +24,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 1 << 20
+#: Words of 64 bits in a bitmap of ids that is broadcast, 16 MB at most.
+_SLOTS = 1 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -57,11 +59,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again."""
+    """Deletes stored tables that nothing will read again, and has the driver collect garbage, as Spark only deletes shuffle files of finished steps once their plans are collected."""
     for t in tables:
         jvm, path = t.sparkSession._jvm, t._stored_at
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame, held: str) -> DataFrame:
+    """The rows whose key is among the `held` of ids, and few others: a bitmap of hashed ids, of _SLOTS words of 64 bits at most, is broadcast."""
+    mark = lambda c: F.xxhash64(F.lit(1), c)
+    slot = lambda c: F.pmod(mark(c), F.lit(_SLOTS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mark(c), 32), F.lit(64)).cast("int"))
+    marks = ids.groupBy(slot(held).alias("_slot")).agg(F.bit_or(bit(held)).alias("_word"))
+    some = rows.withColumn("_slot", slot(key)).join(F.broadcast(marks), "_slot").where(F.col("_word").bitwiseAND(bit(key)) != 0)
+    return some.drop("_slot", "_word")
 
 
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import among, release, stored
 
 EDITS = 2
 _TOP = 31
@@ -16,8 +16,6 @@ _MASK = (1 << (_TOP + 1)) - 1
 _SPACE = "\t\n\v\f\r "
 #: Letters that are counted to tell lines of a frequent segment apart.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Words of 64 bits in the bitmap of ids that is broadcast, 16 MB at most.
-_SLOTS = 1 << 20
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -157,11 +155,7 @@ def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
     That join is an inner one: a semi join would be pushed below that with the bitmap, and all texts shuffled.
     """
-    mark = F.xxhash64(F.lit(1), "id")
-    slot, bit = F.pmod(mark, F.lit(_SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mark, 32), F.lit(64)).cast("int"))
-    marks = ids.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_word"))
-    some = lines.withColumn("_slot", slot).join(F.broadcast(marks), "_slot").where(F.col("_word").bitwiseAND(bit) != 0)
-    return some.drop("_slot", "_word").join(ids, "id")
+    return among(lines, "id", ids, "id").join(ids, "id")
 
 
 def similar_lines(distinct: DataFrame, edits: int = EDITS, least: int | None = None) -> DataFrame:

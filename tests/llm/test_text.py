@@ -243,6 +243,21 @@ def test_passages_that_the_stars_miss(spark):
     assert got == brute and {x[:2] for x in got} == {(3, 2), (41, 40)}
 
 
+def test_passages_among_many_holders_of_their_parts(spark):
+    """Each seed has more places than are all compared, and its first and last documents hold under 50 words of the passage."""
+    r = random.Random(12)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p, line = fill(80), fill(20)
+    parts = [p[:49], p[31:], p[15:64]]
+    rows = {k: parts[k % 3] for k in range(12)} | {20: p, 21: p, 22: p[:40] + ["other"] + p[40:]} | {k: parts[k % 3] for k in range(30, 42)} | {k: line for k in range(50, 90)}
+    docs = spark.createDataFrame([(k, " ".join(fill(30) + v + fill(k % 7))) for k, v in rows.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["other_id"]): x for x in passages.repeated_passages(docs).collect()}
+    assert {(21, 20)} <= got.keys() <= {(21, 20), (22, 20), (22, 21)}
+    assert [got[21, 20][k] for k in ("start", "end", "other_start", "other_end", "identity")] == [30, 110, 30, 110, 1.0]
+    one = spark.createDataFrame([(k, " ".join(fill(30) + p[k : k + 50] + fill(30))) for k in range(30)], "doc_id long, text string")
+    assert passages.repeated_passages(one).count() == 0  # each two share 49 words at most
+
+
 def test_templates_of_marked_pages(spark):
     page = "<html><body><div class=top>Welcome</div><article><p>Text {0} of page<p>Tell your friends about us</article><div>All rights</div></body></html>"
     teasers = "<html><body><article><p>Teaser {0}</article><article><p>More {0}</article><div class=c><p>The long text of page {0} that is what it is for</div></body></html>"

@@ -304,3 +304,28 @@ def test_templates_find_articles_without_names(spark):
 def test_embedded_elements_end():
     assert pages.main_text("<article>a<svg width=1 />b<p>c<object data='x'/>d<p>e<canvas>f<p>g</article>", None) == "a b c d e f g"
     assert pages.main_text("<article>a <math><mi>x</mi></math> b<svg><text>no</text></svg><p>c<noscript>no</noscript></article>", None) == "a x b c"
+
+
+def test_extents_of_many_places_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    for case in range(40):
+        x, y = (rng.integers(0, rng.integers(1, 4), 400).astype(np.uint32) for _ in range(2))
+        y[:200] = np.where(rng.random(200) < 0.8, x[:200], y[:200])
+        n, p, q = rng.integers(0, 60, 50), rng.integers(60, 340, 50), rng.integers(60, 340, 50)
+        q = p if case % 2 else q
+        monkeypatch.setattr(passages, "_CELLS", [1, 500, 1 << 20][case % 3])
+        ahead, back = passages._extents(x, y, p, q, n, 1), passages._extents(x, y, p - 1, q - 1, n, -1)
+        for i, (a, b, m) in enumerate(zip(p, q, n, strict=True)):
+            to, _, out = passages._extend(x[a : a + m], y[b : b + m])
+            assert (to, out) == (ahead[0][i], ahead[1][i])
+            to, _, out = passages._extend(x[a - m : a][::-1], y[b - m : b][::-1])
+            assert (to, out) == (back[0][i], back[1][i])
+
+
+def test_chains_read_together_touch_on_both_sides():
+    chain = lambda a, b: [(a, b), (a + 20, b + 20)]
+    found = [chain(0, 0), chain(100, 100), chain(100, 5000), chain(9000, 100)]
+    groups = passages._near(found, 120)
+    assert sorted(c for _, g in groups for c in g) == sorted(found)
+    assert [(box, len(g)) for box, g in groups] == [((0, 0, 120, 120), 2), ((100, 5000, 120, 5020), 1), ((9000, 100, 9020, 120), 1)]
+    assert passages._near([], 120) == []

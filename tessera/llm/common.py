@@ -150,13 +150,14 @@ class Words:
     """Words of a batch of texts: byte spans, 64-bit hashes and the range of words of each row.
 
     prefixes: lengths in bytes; prefix[k] holds the hash of each word's first bytes, of the whole word if it is shorter.
+    is_word: the bytes that are part of a word.
     """
 
-    def __init__(self, col: pa.Array, prefixes: tuple[int, ...] = ()):
+    def __init__(self, col: pa.Array, prefixes: tuple[int, ...] = (), is_word: np.ndarray = IS_WORD):
         raw, self.rows = text_buffer(col)
         self.raw = raw
         word = np.zeros(len(raw) + 2, bool)
-        word[1:-1] = IS_WORD[raw]
+        word[1:-1] = is_word[raw]
         first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
         inner = np.unique(self.rows)
         inner = inner[(inner > 0) & (inner < len(raw))]

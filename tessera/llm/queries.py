@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, pages, passages, quality, tokenfile, topk, toxicity
+from . import decontam, lines, minhash, mixing, pages, passages, phrases, quality, tokenfile, topk, toxicity
 from .common import load
 
 
@@ -64,8 +64,15 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+def op13_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents").select("lang", "text"))
+
+
+_ALL = (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk, op13_pivot_phrases)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk)}
+    return {f.__name__: f for f in _ALL}
 
 
 _OP4 = r"""
@@ -107,6 +114,21 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+_OP13 = r"""
+with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+t as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+o as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from w, (select unnest(range(1, 6)) as k) where len(w) >= k),
+g as (select lang, k, w[s : s + k - 1] as g, cast(count(*) as bigint) as f from o group by all having count(*) >= 100),
+d as (select distinct x.lang, x.g from g x join g y on x.lang = y.lang and y.k = x.k + 1 and (y.g[: x.k] = x.g or y.g[2 :] = x.g) where x.f <= y.f),
+c as (select g.lang, g.g, g.f as a, g.k, unnest(range(1, g.k)) as cut from g left join d on d.lang = g.lang and d.g = g.g where g.k > 1 and d.g is null),
+s as (select c.lang, c.g, c.a, c.cut, x.f as l, y.f as r, t.n, cast(1000::hugeint * c.a * t.n // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from c join g x on x.lang = c.lang and x.g = c.g[: c.cut] join g y on y.lang = c.lang and y.g = c.g[c.cut + 1 :] join t on t.lang = c.lang),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, cut) = 1),
+r as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from b)
+select * from r where rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op6_curriculum_mix": _OP6, "op10_exact_topk": _OP10}
+    return {"op13_pivot_phrases": _OP13, "op4_decontamination": _OP4, "op6_curriculum_mix": _OP6, "op10_exact_topk": _OP10}

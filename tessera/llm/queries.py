@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, mixing, pages, passages, phrases, quality, tokenfile, topk, toxicity
+from . import conversations, decontam, lines, minhash, mixing, pages, passages, phrases, quality, tokenfile, topk, toxicity
 from .common import load
 
 
@@ -64,11 +64,20 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations all of whose turns are dropped have zeros, no edits and the digest of an empty string."""
+    rows = load(spark, sf_dir, "conversations")
+    made = conversations.repaired(conversations.damaged(rows)).withColumnRenamed("conv_id", "_c")
+    out = rows.select("conv_id").distinct().join(made, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    blank = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return out.select("conv_id", *[F.coalesce(F.col(c), blank.get(c, F.lit(0))).alias(c) for c in out.columns if c != "conv_id"])
+
+
 def op13_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents").select("lang", "text"))
 
 
-_ALL = (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk, op13_pivot_phrases)
+_ALL = (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk, op12_turn_repair, op13_pivot_phrases)
 
 
 def queries() -> dict:
@@ -114,6 +123,36 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+_OP12 = r"""
+with recursive crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+x as (select k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda b: ascii(b))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 as x from k, crc),
+d as (select conv_id, turn, case when x = 4 then 'user' else role end as role, case x when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case x when 3 then 2 else 1 end)) as copy from x where x <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare, role[1] as h from d),
+s as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as seen from o),
+f as (select *, bare = '' as blank, bare <> '' and seen as duplicate, bare <> '' and not seen and right(bare, 1) not in ('.', '!', '?') as truncated, lag(h) over (partition by conv_id order by i) || h not in ('su', 'ua', 'au') as illegal from s),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (illegal) as illegal from f group by conv_id),
+p(conv_id, i, b) as (
+  select conv_id, cast(0 as bigint), [{'s': 0, 'c': 0, 'a': ''}] from n
+  union all
+  select conv_id, i, list_filter(list_transform(range(4), lambda s: list_min(list_transform(list_filter(m, lambda y: y.s = s), lambda y: {'c': y.c, 'a': y.a, 's': y.s}))), lambda y: y is not null) from (
+    select conv_id, i, list_transform(list_concat(list_transform(q, lambda y: {'s': y.s, 'c': y.c + 4, 'a': y.a || 'D'}), case when blank or duplicate then [] else list_concat(
+      list_transform(list_filter(q, lambda y: h = 's' and y.s = 0 or h = 'u' and y.s <> 2 or h = 'a' and y.s = 2), lambda y: {'s': case h when 's' then 1 when 'u' then 2 else 3 end, 'c': y.c + 3 * truncated::int, 'a': y.a || 'K'}),
+      list_transform(q, lambda y: {'s': case when y.s = 2 then 3 else 2 end, 'c': y.c + 3 + 3 * truncated::int, 'a': y.a || 'R'})) end), lambda y: y) as m
+    from (select p.conv_id, f.i, f.h, f.blank, f.duplicate, f.truncated,
+        list_concat(b, list_transform(b, lambda y: {'s': case when y.s = 2 then 3 else 2 end, 'c': y.c + 3, 'a': y.a || 'I'}), list_transform(b, lambda y: {'s': case when y.s = 2 then 2 else 3 end, 'c': y.c + 6, 'a': y.a || 'II'})) as q
+      from p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1))),
+e as (select n.*, list_min(list_transform(list_filter(list_concat(list_transform(b, lambda y: {'s': y.s, 'c': y.c, 'a': y.a}), list_transform(b, lambda y: {'s': case when y.s = 2 then 3 else 2 end, 'c': y.c + 3, 'a': y.a || 'I'}), list_transform(b, lambda y: {'s': case when y.s = 2 then 2 else 3 end, 'c': y.c + 6, 'a': y.a || 'II'})), lambda y: y.s in (0, 3)), lambda y: {'c': y.c, 'a': y.a})) as best
+  from n join p on p.conv_id is not distinct from n.conv_id and p.i = n.n),
+u as (select conv_id, unnest(string_split(best.a, '')) as edit, unnest(range(len(best.a))) as pos from e where best.a <> ''),
+v as (select *, count(*) filter (edit <> 'I') over (partition by conv_id order by pos) as i from u),
+g as (select v.conv_id, pos, edit, f.role, f.text, f.h, row_number() over (partition by v.conv_id order by pos) as place from v left join f on f.conv_id is not distinct from v.conv_id and f.i = v.i where edit <> 'D'),
+l as (select conv_id, pos, case when edit = 'K' then role when (place - max((edit = 'K' and h = 's')::int) over (partition by conv_id)) % 2 = 1 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end as line from g),
+j as (select conv_id, string_agg(line, chr(10) order by pos) as t from l group by conv_id)
+select c.conv_id, coalesce(e.gaps, 0) as gaps, coalesce(e.blank, 0) as blank, coalesce(e.duplicate, 0) as duplicate, coalesce(e.truncated, 0) as truncated, coalesce(e.illegal, 0) as illegal, cast(coalesce(e.best.c, 0) as bigint) as cost, coalesce(e.best.a, '') as audit, sha256(coalesce(j.t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join e on e.conv_id is not distinct from c.conv_id left join j on j.conv_id is not distinct from c.conv_id
+"""
+
 _OP13 = r"""
 with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
@@ -131,4 +170,4 @@ select * from r where rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_pivot_phrases": _OP13, "op4_decontamination": _OP4, "op6_curriculum_mix": _OP6, "op10_exact_topk": _OP10}
+    return {"op12_turn_repair": _OP12, "op13_pivot_phrases": _OP13, "op4_decontamination": _OP4, "op6_curriculum_mix": _OP6, "op10_exact_topk": _OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, lines, minhash, mixing, pages, passages, phrases, quality, tokenfile, topk, toxicity
+from . import conversations, decontam, lines, minhash, mixing, packing, pages, passages, phrases, quality, tokenfile, topk, toxicity
 from .common import load
 
 
@@ -64,6 +64,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations all of whose turns are dropped have zeros, no edits and the digest of an empty string."""
     rows = load(spark, sf_dir, "conversations")
@@ -77,7 +83,7 @@ def op13_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents").select("lang", "text"))
 
 
-_ALL = (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk, op12_turn_repair, op13_pivot_phrases)
+_ALL = (op1_dart_minhash, op2_byte_convnet, op3_line_edit_join, op4_decontamination, op5_chained_passages, op6_curriculum_mix, op7_noisy_or_toxicity, op8_page_templates, op9_token_files, op10_exact_topk, op11_best_fit_packing, op12_turn_repair, op13_pivot_phrases)
 
 
 def queries() -> dict:

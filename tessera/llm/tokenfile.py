@@ -36,19 +36,20 @@ class Encoder:
     between a printable ASCII character and an ASCII letter. Texts are cut there, so that the ids of a text are those of its pieces. The
     library encodes pieces that are new; their ids are kept by 64-bit hash in a table of a fixed size,
     which is emptied when it is half full. Texts of a file with another pattern, or with a normaliser, are
-    encoded whole.
+    encoded whole, and so are texts that hold the string of a special token, which becomes that token's id; plain=True takes it as ordinary text.
     """
 
     BITS = 22
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
+        self.special = [] if plain else [t["content"].encode() for t in held.get("added_tokens") or []]
         before = held.get("pre_tokenizer") or {}
         self.known = not held.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self._clear()
@@ -103,6 +104,13 @@ class Encoder:
         edge[1:] = (before == _LETTER) & (here != _LETTER) & (here != _BEYOND)
         edge[2:] |= (raw[1:-1] == 0x0A) & (here[1:] == _LETTER) & ((before[:-1] == _LETTER) | (before[:-1] == _PRINTED))
         edge[:-1] |= (raw[:-1] == 0x20) & ((here == _LETTER) | (here == _PRINTED))
+        text = raw.tobytes() if self.special else b""
+        for token in self.special:
+            at = text.find(token)
+            while at >= 0:
+                row = np.searchsorted(rows, at, "right")
+                edge[rows[row - 1] : rows[row]] = False
+                at = text.find(token, rows[row])
         edge[rows[:-1][rows[:-1] < len(raw)]] = True
         return np.flatnonzero(edge)
 
@@ -147,7 +155,7 @@ class Encoder:
 
 
 @lru_cache(1)
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each Python worker, which serves one task after another."""
     return Encoder(path)
 
@@ -161,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     bounded_batches(docs.sparkSession)
 
     def encode(batch: pa.RecordBatch) -> list:
-        ids, offsets = _encoder(tokenizer_path).encode(batch.column("text"), end_id)
+        ids, offsets = encoder(tokenizer_path).encode(batch.column("text"), end_id)
         return [batch.column("doc_id"), np.diff(offsets), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])

@@ -5,9 +5,9 @@ its conversations at a time and keeps the least (cost, audit) of each state of t
 too long for a batch is cut into blocks of its sorted rows; the query then starts in each state, and a pass in order
 over the blocks of a conversation joins them.
 
-Rows are (conv_id, turn, role, text) in order of turn, null first; ties are ordered by role, then text. A null role or text is one
-space, a null conv_id is a conversation like others, repeated rows are duplicates, other columns are ignored.
-No rows give no rows.
+Rows are (conv_id, turn, role, text) in order of turn, null first; ties are ordered by role, the first 200 characters of the text, then its
+SHA-256. A null role or text is one space, a null conv_id is a conversation like others, repeated rows are duplicates, other columns are
+ignored. No rows give no rows.
 
 States: 0 nothing yet, 1 after the system turn, 2 after a user's turn, 3 after an assistant's.
 """
@@ -57,7 +57,7 @@ select c, s, v0, v1, v2, v3, list_min([v0, reply_next(user_next(v0, v1, v2, v3),
 _ORDERED = """
 create temp table whole as
 select *, not blank and row_number() over (partition by c, role, text order by i) > 1 as duplicate from (
-  select *, dense_rank() over (order by conv_id nulls first) - 1 as c, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from t)
+  select *, dense_rank() over (order by conv_id nulls first) - 1 as c, row_number() over (partition by conv_id order by turn nulls first, role, left(text, 200), sha256(text)) - 1 as i from t)
 """
 _ROWS = "create temp table rows as select c, i, substr(role, 1, 1) as h, blank or duplicate as must, case when blank or duplicate or ended then 0 else {late} end as late from whole"
 _FAULTS = """
@@ -207,11 +207,10 @@ class _Fold:
 def _long(rows: DataFrame, keep_turns: bool) -> DataFrame:
     """Results of long conversations, whose rows are range-sorted over all partitions; first occurrences are found by grouping."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    held = stored(rows.withColumns({"_d": digest, "_id": F.monotonically_increasing_id()}), "turns")
-    firsts = held.groupBy("conv_id", "_d").agg(F.min(F.struct("turn", "_id"))["_id"].alias("_first")).select(F.col("conv_id").alias("_c"), F.col("_d").alias("_k"), "_first")
-    marked = held.join(firsts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_d") == F.col("_k"))).withColumn("duplicate", ~F.col("blank") & (F.col("_id") != F.col("_first")))
-    by = ["conv_id", "turn", "role", "_d", "_id"]
+    held = stored(rows.withColumns({"_d": F.sha2("text", 256), "_id": F.monotonically_increasing_id()}), "turns")
+    firsts = held.groupBy("conv_id", "role", "_d").agg(F.min(F.struct("turn", "_id"))["_id"].alias("_first")).select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("_d").alias("_k"), "_first")
+    marked = held.join(firsts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("_d") == F.col("_k"))).withColumn("duplicate", ~F.col("blank") & (F.col("_id") != F.col("_first")))
+    by = ["conv_id", "turn", "role", F.substring("text", 1, 200), "_d", "_id"]
     ordered = marked.repartitionByRange(*by).sortWithinPartitions(*by).select("conv_id", "role", "text", "blank", "ended", "duplicate", F.monotonically_increasing_id().alias("pos"))
     blocks = stored(_blocks(ordered), "blocks").repartition("conv_id").sortWithinPartitions("conv_id", "pos")
     schema = f"conv_id {kind}, {_COUNTS.replace('gaps long, ', '')}" + f", turns {_TURNS}" * keep_turns

@@ -139,19 +139,22 @@ def packed(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_R
     free = items.where(F.col("size") * 2 <= capacity).select("id", "size")
     opened = 0
     while True:
-        n, total, least = free.agg(F.count("*"), F.sum("size"), F.min("size")).first()
-        if not n:
+        both = free.withColumn("is_gap", F.lit(False)).union(gaps.withColumn("is_gap", F.lit(True)))
+        sizes = both.groupBy("is_gap", "size").count().collect()  # two rows for each size up to capacity
+        own = {r["size"]: r["count"] for r in sizes if not r["is_gap"]}
+        if not own:
             return reduce(DataFrame.union, done)
-        gaps = gaps.where(F.col("size") >= least)
-        n_gaps, room = gaps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        new = max(0, -(-(total - room) // capacity))
+        room = {r["size"]: r["count"] for r in sizes if r["is_gap"] and r["size"] >= min(own)}
+        gaps = gaps.where(F.col("size") >= min(own))
+        new = max(0, -(-(sum(k * n for k, n in own.items()) - sum(k * n for k, n in room.items())) // capacity))
         if new:
             gaps = gaps.union(spark.range(new).select((-F.col("id") - 1 - opened).alias("id"), F.lit(capacity).cast("long").alias("size")))
             opened += new
         both = free.withColumn("is_gap", F.lit(False)).union(gaps.withColumn("is_gap", F.lit(True)))
         by = ["size", "is_gap", F.xxhash64("id"), "id"]
-        ranged = both.repartitionByRange(max(1, -(-(n + n_gaps + new) // range_rows)), *by).sortWithinPartitions(*by)
-        swept = stored(ranged.select("size", "is_gap", "id").mapInArrow(_sweep(capacity), _SWEPT), "swept")
+        ranges = -(-(sum(own.values()) + sum(room.values()) + new) // range_rows)
+        ranged = both.coalesce(1) if ranges == 1 else both.repartitionByRange(ranges, *by)  # a single range needs no exchange
+        swept = stored(ranged.sortWithinPartitions(*by).select("size", "is_gap", "id").mapInArrow(_sweep(capacity), _SWEPT), "swept")
         counts: dict[int, dict[int, int]] = {}
         for r in swept.where(F.col("kind").isin(_PIECE, _GAP)).groupBy("part", "kind").count().collect():  # two rows for each range
             counts.setdefault(r["part"], {})[r["kind"]] = r["count"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import lexical, metadata, scoring, topics
+from ..operators import lexical, metadata, scoring, topics, variational
 from ..operators import zones as Z
 
 #: The tables hold invented words, so these stand in for a vocabulary and for lexicons.
@@ -248,6 +248,45 @@ def aligned_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.compute_stability(rows, words, 4, 2, 10)
 
 
+#: Weights of the topic words in each topic, by rank, and of words of other topics.
+TOPIC_WEIGHTS, OTHER_WEIGHT = [0.4, 0.3, 0.2, 0.1], 0.01
+FOLD_ALPHA, FOLD_STEPS, PASSES, ETA = [0.5, 0.3, 0.2], 50, 3, 0.1
+
+
+def _topic_table() -> list[tuple[str, list[float]]]:
+    return [(w, [TOPIC_WEIGHTS[i] if t == k else OTHER_WEIGHT for t in TOPIC_WORDS]) for k, ws in TOPIC_WORDS.items() for i, w in enumerate(ws)]
+
+
+def topic_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic mixtures of all documents against fixed topics; those without a topic word have the prior's."""
+    bags = topics.bag_of_words(_tokens(spark, sf_dir)).withColumnRenamed("token", "term")
+    out = variational.folded_in(bags, spark.createDataFrame(_topic_table(), "term string, weights array<double>"), FOLD_ALPHA, FOLD_STEPS, _docs(spark, sf_dir))
+    return out.select("doc_id", "dominant_topic", *[F.round(F.col("probabilities")[i], 6).alias(f"p{i}") for i in range(len(FOLD_ALPHA))])
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Passes over all documents from a stored table of topics."""
+    from ..sources import sinks
+
+    words = spark.createDataFrame([(i, w, x) for i, (w, x) in enumerate(_topic_table())], "term_id int, term string, weights array<double>")
+    bags = topics.bag_of_words(_tokens(spark, sf_dir)).join(F.broadcast(words), F.col("token") == F.col("term")).select("doc_id", "term_id", "n")  # a word or two for each topic
+    path = sinks.scratch(spark, "passes")
+    variational.train(variational.documents(bags, len(FOLD_ALPHA)), words.select("term_id", "weights"), path, PASSES, FOLD_ALPHA, ETA)
+    return path, words
+
+
+def lda_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence bound of each pass."""
+    return variational.bounds(spark, _trained(spark, sf_dir)[0]).select(F.col("pass").cast("long").alias("pass"), F.round("bound", 3).alias("bound"), "n_docs")
+
+
+def lda_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics after the last pass."""
+    path, words = _trained(spark, sf_dir)
+    made = variational.trained_topics(spark, path, PASSES).join(words.select("term_id", "term"), "term_id")
+    return made.select("term", F.posexplode("weights").alias("topic_id", "weight")).select("term", "topic_id", F.round("weight", 6).alias("weight"))
+
+
 #: Phrases that hold terms, each of the extra patterns, and near misses.
 PHRASES = ["Carbon emissions", "CO2e and CO2", "scope 3", "scope two", "water stewardship", "social impact", "energy mix", "human rights", "human-rights", "net zero", "circular economy", "Paris  agreement", "health and safety", "employee wellness", "supply chain risk", "responsible sourcing", "double materiality", "transition plan", "renewable energy", "wind power", "tonnes co2", "science-based targets", "UN SDG", "sustainably", "decarbonised", "recycling", "offsetting", "social energy", "scope 4", "esgs", "netzero", "plain words"]
 
@@ -389,7 +428,7 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
 
 
-_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, lda_topics, lda_doc_topics, aligned_stability)
+_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -473,6 +512,51 @@ def _forms(words: list[str]) -> list[str]:
     return sorted({c for b in bases for x in ends for y in ends if lexical.porter_stem(c := b + x + y) in stems})
 
 
+def _psi(x: str) -> str:
+    """The derivative of ln gamma: ten steps up, then the series."""
+    y = f"({x} + 10.0::double)"
+    rise = " + ".join(f"1 / ({x} + {j}.0::double)" for j in range(10))
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - ({rise}))"
+
+
+def _variational_sql() -> dict[str, str]:
+    """Inference and passes as recursive queries: r is a document's mixture after i rounds."""
+    doubles = lambda xs: "[" + ", ".join(f"{x}::double" for x in xs) + "]"
+    k, alpha = len(FOLD_ALPHA), doubles(FOLD_ALPHA)
+    table = "tw as (select * from (values " + ", ".join(f"({i}, '{w}', {doubles(x)})" for i, (w, x) in enumerate(_topic_table())) + ") as v(term_id, term, w))"
+    places = f"range(1, {k + 1})"
+
+    def rounds(name: str, bag: str, start: str, steps: int) -> str:
+        return f"""{name}(doc_id, i, bag, g) as (select doc_id, 0, bag, {start} union all
+select doc_id, i + 1, bag, list_transform({places}, lambda k: {alpha}[k] + th[k] * coalesce(list_sum(list_transform(bag, lambda x: x.n * x.w[k] / (list_dot_product(th, x.w) + 1e-100::double))), 0))
+from (select *, list_transform(g, lambda y: exp({_psi("y")})) as th from {name} where i < {steps}))"""
+
+    counts = f"{_TOK}, {table}, bg as (select doc_id, term_id, w, cast(count(*) as double) as n from tk join tw on token = term group by all)"
+    fold = f"with recursive {counts}, dl as (select d.doc_id, coalesce(bag, []) as bag from documents d left join (select doc_id, list({{'n': n, 'w': w}} order by term_id) as bag from bg group by doc_id) using (doc_id)), {rounds('r', 'bag', doubles([1] * k) + ' from dl', FOLD_STEPS)}, p as (select doc_id, list_transform(g, lambda y: y / list_sum(g)) as p from r where i = {FOLD_STEPS}) select doc_id, cast(list_position(p, list_max(p)) - 1 as integer) as dominant_topic, " + ", ".join(f"round(p[{i + 1}], 6) as p{i}" for i in range(k)) + " from p"
+    parts, n_terms = [f"with recursive {counts}, w0 as (select term_id, w from tw)"], len(_topic_table())
+    per_topic = lambda f: "[" + ", ".join(f(i + 1) for i in range(k)) + "]"
+    psi = lambda expr, var: f"list_transform({expr}, lambda {var}: {_psi(var)})"
+    for p in range(1, PASSES + 1):
+        start = doubles([1] * k) if p == 1 else "g"
+        source = f"from l{p}" if p == 1 else f"from l{p} join (select doc_id, g from r{p - 1} where i = {variational.PASS_STEPS}) using (doc_id)"
+        parts += [
+            f"t{p} as (select {per_topic(lambda i: f'sum(w[{i}])')} as t from w{p - 1})",
+            f"e{p} as (select term_id, w, list_transform({places}, lambda k: q[k] - z[k]) as lb from (select term_id, w, {psi('w', 'y')} as q, {psi('t', 'y')} as z from w{p - 1}, t{p}))",
+            f"l{p} as (select doc_id, list({{'n': n, 't': term_id, 'w': list_transform(lb, lambda y: exp(y))}} order by term_id) as bag from bg join e{p} using (term_id) group by doc_id)",
+            rounds(f"r{p}", "bag", f"{start} {source}", variational.PASS_STEPS),
+            f"x{p} as (select doc_id, bag, g, list_transform({psi('g', 'y')}, lambda y: y - {_psi('list_sum(g)')}) as lt from r{p} where i = {variational.PASS_STEPS})",
+            f"y{p} as (select doc_id, unnest(bag) as x, list_transform(lt, lambda y: exp(y)) as th from x{p})",
+            f"w{p} as (select term_id, {per_topic(lambda i: f'coalesce(s[{i}], 0) + {ETA}::double')} as w from w{p - 1} left join (select x.t as term_id, {per_topic(lambda i: f'sum(x.n * th[{i}] * x.w[{i}] / (list_dot_product(th, x.w) + 1e-100::double))')} as s from y{p} group by x.t) using (term_id))",
+            f"""b{p} as (select (select sum(x.n * ln(list_dot_product(th, x.w) + 1e-100::double)) from y{p})
+  + (select sum(list_sum(list_transform({places}, lambda k: ({alpha}[k] - g[k]) * lt[k] + lgamma(g[k]) - lgamma({alpha}[k]))) + lgamma(list_sum({alpha})) - lgamma(list_sum(g))) from x{p})
+  + (select sum(list_sum(list_transform({places}, lambda k: ({ETA}::double - w[k]) * lb[k] + lgamma(w[k]) - lgamma({ETA}::double)))) from e{p})
+  + (select list_sum(list_transform(t, lambda y: lgamma({ETA * n_terms}::double) - lgamma(y))) from t{p}) as bound)""",
+        ]
+    bound = ", ".join(parts) + " " + " union all ".join(f"select cast({p} as bigint) as pass, round(bound, 3) as bound, (select count(*) from x{p}) as n_docs from b{p}" for p in range(1, PASSES + 1))
+    trained = ", ".join(parts) + f" select term, cast(k - 1 as integer) as topic_id, round(w[k] / t[k], 6) as weight from (select term, z.w, s.t, unnest({places}) as k from w{PASSES} z join tw using (term_id), (select {per_topic(lambda i: f'sum(w[{i}])')} as t from w{PASSES}) s)"
+    return {"topic_fold_in": fold, "lda_bound": bound, "lda_trained": trained}
+
+
 def _more_sql() -> dict[str, str]:
     ws, name = _WS, lambda c: f"trim(regexp_replace(regexp_replace(strip_accents(upper(trim({c}))), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
     cell = lambda n: f"case when s_suppkey % {n} = 1 then 'type ' || (s_suppkey % 9) end"
@@ -557,4 +641,4 @@ def oracle_sql() -> dict[str, str]:
         "coherence_npmi": f"with {_coherence(10)} select topic_id, round(avg(v), 6) as c_npmi from pm where i <> j group by topic_id",
         "coherence_cv": f"with {_coherence(110)}, ss as (select topic_id, j, sum(v) as s from pm group by all), cs as (select topic_id, i, sum(v * s) / nullif(sqrt(sum(v * v)) * sqrt(sum(s * s)), 0) as c from pm join ss using (topic_id, j) group by all) select topic_id, round(avg(coalesce(c, 0)), 6) as c_v from cs group by topic_id",
     }
-    return out | _more_sql()
+    return out | _more_sql() | _variational_sql()

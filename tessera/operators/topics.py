@@ -41,12 +41,15 @@ def dictionary(rows: DataFrame, model: CountVectorizerModel) -> DataFrame:
     return words.join(df, "word").select("word_id", "word", "df")
 
 
-def fit(rows: DataFrame, k: int, alpha: str | float = "auto", seed: int = 0, max_iter: int = 50) -> LDAModel:
-    """Online LDA; alpha 'auto' learns the document concentration. Each of the max_iter iterations is a pass over all rows."""
+def fit(rows: DataFrame, k: int, alpha: str | float = "auto", seed: int = 0, max_iter: int = 50, cached: bool = False) -> LDAModel:
+    """Online LDA; alpha 'auto' learns the document concentration. Each of the max_iter iterations is a pass over all rows. cached: rows are held already."""
     lda = LDA(k=k, optimizer="online", maxIter=max_iter, subsamplingRate=1.0, seed=seed, featuresCol="features", optimizeDocConcentration=alpha == "auto")
+    lda = lda if alpha == "auto" else lda.setDocConcentration([float(alpha)])
+    if cached:
+        return lda.fit(rows.select("features"))
     features = rows.select("features").persist()
     try:
-        return (lda if alpha == "auto" else lda.setDocConcentration([float(alpha)])).fit(features)
+        return lda.fit(features)
     finally:
         features.unpersist()
 
@@ -213,20 +216,6 @@ def compute_stability(rows: DataFrame, dictionary_model: CountVectorizerModel, k
     return stability(all_topics) if all_topics is not None else stability(rows.sparkSession.createDataFrame([], "model int, topic_id int, term string"))
 
 
-def grid(rows: DataFrame, dictionary_model: CountVectorizerModel, toks: DataFrame, counts: tuple = vocab.TOPIC_COUNTS, alphas: tuple = vocab.TOPIC_ALPHAS, runs: int = vocab.TOPIC_RUNS, max_iter: int = 50):  # noqa: ANN201
-    """Yields ((k, alpha, run), model, coherence) over the grid, measured while rows and toks are held; run is the seed. A measure that fails is NaN."""
-    rows, toks = rows.persist(), toks.persist()
-    try:
-        for k in counts:
-            for alpha in alphas:
-                for run in range(1, runs + 1):
-                    model = fit(rows, k, alpha, run, max_iter)
-                    yield (k, alpha, run), model, coherence(toks, top_terms(model, dictionary_model))
-    finally:
-        rows.unpersist()
-        toks.unpersist()
-
-
 def ranked_terms(toks: DataFrame, by: str, n: int) -> DataFrame:
     """The n most frequent tokens of each group, ties by token."""
     counts = toks.groupBy(by, "token").agg(F.count("*").alias("n"))

@@ -98,7 +98,7 @@ def _gathered(topics: DataFrame, k: int) -> np.ndarray:
 
 
 def _inferred(docs: DataFrame, log_beta, alpha: np.ndarray, steps: int) -> DataFrame:  # noqa: ANN001
-    """docs with the mixtures after some rounds, a row each, and a task's sums in rows of kind 1 (term, topic, value) and 2 (place, value): expected counts; bound and expected log mixtures."""
+    """docs with the mixtures after some rounds, a row each, and a task's sums in rows of kind 1 (term, topic, value) and 2 (place, value): expected counts; bound, documents and expected log mixtures."""
     k = len(alpha)
     fields = docs.schema
     kind = fields["doc_id"].dataType.simpleString()
@@ -110,7 +110,7 @@ def _inferred(docs: DataFrame, log_beta, alpha: np.ndarray, steps: int) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = log_beta.value
-        stats, sums, beta = np.zeros_like(held), np.zeros(1 + k), np.exp(held)
+        stats, sums, beta = np.zeros_like(held), np.zeros(2 + k), np.exp(held)
         for batch in it:
             terms, counts, gammas = (batch.column(c) for c in ("terms", "counts", "gamma"))
             of = np.append(0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))
@@ -128,12 +128,13 @@ def _inferred(docs: DataFrame, log_beta, alpha: np.ndarray, steps: int) -> DataF
                 norm = theta @ b + TINY
                 stats[:, w] += theta[:, None] * b * (n / norm)
                 sums[0] += n @ np.log(norm) + ((alpha - gamma) @ expected + log_gamma(gamma).sum() - log_gamma(alpha).sum() + log_gamma(alpha.sum()) - log_gamma(gamma.sum()))
-                sums[1:] += expected
+                sums[2:] += expected
             n = batch.num_rows
+            sums[1] += n
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(made.reshape(-1)))
             nothing = [pa.nulls(n, schema.field(c).type) for c in ("term_id", "topic", "value")]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), terms, counts, lists, *nothing], names=names)
-        for number, (topic, term, value) in ((1, (*(some := np.nonzero(stats)), stats[some])), (2, (np.arange(1 + k), np.zeros(1 + k, int), sums))):
+        for number, (topic, term, value) in ((1, (*(some := np.nonzero(stats)), stats[some])), (2, (np.arange(2 + k), np.zeros(2 + k, int), sums))):
             for lo in range(0, len(value), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
                 n = len(value[part])
@@ -201,10 +202,10 @@ def train(docs: DataFrame, start: DataFrame, path: str, passes: int, alpha: list
         after = before.select("term_id").join(by_term, "term_id", "left").select("term_id", F.array(*[F.coalesce(F.try_element_at("held", F.lit(i)), F.lit(0.0)) + eta for i in range(k)]).alias("weights"))
         after.write.mode("overwrite").parquet(f"{path}/topics/{p}")
         totals = {r["topic"]: float(r["value"]) for r in made.where("kind = 2").groupBy("topic").agg(F.sum(F.col("value").cast(_EXACT)).alias("value")).collect()}
-        n = made.where("kind = 0").count()
+        n = round(totals.get(1, 0.0))
         bound = totals.get(0, 0.0) + _topic_bound(weights, eta)
         if learn_prior and n:
-            prior = learned_prior(prior, np.array([totals[i + 1] for i in range(k)]), n)
+            prior = learned_prior(prior, np.array([totals[i + 2] for i in range(k)]), n)
         spark.createDataFrame([(bound, n, [float(a) for a in prior])], "bound double, n_docs long, alpha array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/passes/pass={p}")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import lexical, metadata, scoring, topics
+from ..operators import grid, lexical, metadata, scoring, topics
 from ..operators import zones as Z
 from ..sources import readers, sinks
 
@@ -52,7 +52,8 @@ def run(spark: SparkSession, out: str, *, blocks: DataFrame | None = None, pages
     """Runs the chosen stages and writes their files under out; returns the scores, or the corpus without scoring.
 
     blocks' doc_id is a file path. Without extraction, zone files are read from zone_root; without
-    preprocessing, the corpus from corpus_path, and year and document type are made again.
+    preprocessing, the corpus from corpus_path, and year and document type are made again. Topic models that an earlier run
+    left under out aren't fitted again.
     """
     corpus = None
     if run_preproc:
@@ -80,15 +81,19 @@ def run(spark: SparkSession, out: str, *, blocks: DataFrame | None = None, pages
         options = topic_options or {}
         rows, words = topics.prepared(corpus, min_df=options.get("min_df", 5), max_df=options.get("max_df", 0.85))
         toks = rows.select("doc_id", F.posexplode("tokens").alias("place", "token"))
-        table = []
-        for (k, alpha, n), model, row in topics.grid(rows, words, toks, options.get("counts", vocab.TOPIC_COUNTS), options.get("alphas", vocab.TOPIC_ALPHAS), options.get("runs", vocab.TOPIC_RUNS), options.get("max_iter", 50)):
+        tables = f"{out}/topics/tables"
+
+        def save(key, model) -> None:  # noqa: ANN001
+            k, alpha, n = key
             folder = sinks.run_folder(f"{out}/topics", alpha, k, n)
-            sinks.topic_keywords(topics.top_terms(model, words), f"{folder}/lda_topics_keywords.csv")
-            sinks.document_distribution(topics.document_topics(model, rows), corpus.select("doc_id", "document"), k, f"{folder}/lda_document_distribution.csv")
+            sinks.topic_keywords(grid.model_table(spark, tables, "topics", key), f"{folder}/lda_topics_keywords.csv")
+            sinks.document_distribution(grid.model_table(spark, tables, "mixtures", key), corpus.select("doc_id", "document"), k, f"{folder}/lda_document_distribution.csv")
             sinks.dictionary(topics.dictionary(rows, words), f"{folder}/dictionary_readable.txt")
             sinks.model(model, f"{folder}/model")
             sinks.model(words, f"{folder}/dictionary")
-            table.append((k, str(alpha), n, *row))
-        if table:
-            sinks.coherence(spark.createDataFrame(table, "num_topics int, alpha string, iter int, c_v double, u_mass double, c_npmi double"), f"{out}/coherence.csv")
+
+        chosen = {name: options[name] for name in ("counts", "alphas", "runs", "max_iter", "at_once") if name in options}
+        table = grid.run(rows, words, toks, tables, save=save, **chosen)
+        if not table.isEmpty():
+            sinks.coherence(table, f"{out}/coherence.csv")
     return scores if scores is not None else corpus

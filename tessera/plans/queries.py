@@ -368,13 +368,28 @@ def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone files as written, one folder for each document, and read again."""
+    """Zone files as written at the paths that mirror the documents' own, and read again; place is that under the root."""
     from ..sources import readers, sinks
 
     path = sinks.scratch(spark, "zones")
     files = readers.with_path_parts(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit("data/pdf/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path")))
     sinks.zones(_zones(spark, sf_dir), files, path)
-    return readers.zone_files(spark, path).select("file", "path", "zone_path", F.size("zones").cast("long").alias("n_zones"), F.get(F.col("zones.source"), F.lit(0)).alias("zone_source"), F.md5("relevant_text").alias("text_md5"))
+    first = lambda c: F.get(F.col(f"zones.{c}"), F.lit(0))
+    return readers.zone_files(spark, path).select("file", "path", F.regexp_extract("json_path", "(data/.*)$", 1).alias("zone_path"), F.size("zones").cast("long").alias("n_zones"), first("source").alias("zone_source"), first("section").alias("section"), F.md5("relevant_text").alias("text_md5"))
+
+
+def zone_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as if they were zone files: each third one is broken off, each fifth has another key."""
+    from ..sources import readers, sinks
+
+    path, k = sinks.scratch(spark, "broken"), F.col("page_id")
+    whole = F.concat(F.lit('{"'), F.when(k % 5 == 0, "text").otherwise("relevant_text"), F.lit('": "'), F.col("url"), F.lit('"}'))
+    rows = _load(spark, sf_dir, "pages").withColumn("t", whole).select(F.when(k % 3 == 0, F.substring("t", 1, 20)).otherwise(F.col("t")).alias("value"), k.alias("page"))
+    rows.write.partitionBy("page").text(path)
+    errors = readers.zone_file_errors(spark, path, "*.txt")
+    texts = readers.zone_files(spark, path, "*.txt").select("json_path", "relevant_text")
+    out = texts.join(errors, "json_path", "left")
+    return out.select(F.regexp_extract("json_path", r"page=(\d+)/", 1).cast("long").alias("page_id"), "relevant_text", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,7 +443,7 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
 
 
-_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
+_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -589,7 +604,8 @@ py as (select *, coalesce(nullif(regexp_extract(document, '20\\d{{2}}'), ''), '2
         "company_keys": f"with x as (select c_custkey, upper(trim([' españa', 'Alemania', 'Chile '][c_custkey % 3 + 1])) as c, {name(_list(COMPANIES) + '[c_custkey // 3 % ' + str(len(COMPANIES)) + ' + 1]')} as n from customer) select c_custkey, {case('c', vocab.COUNTRY_ALIASES)} as country_key, {case('n', aliases)} as company_norm from x",
         "preprocessed": f"with {clean} select doc_id, document, lang as country, source as company, year, 'Unknown' as doc_type, md5(t) as clean_md5 from (select * exclude (source, lang), source, lang from py)",
         "corpus_round_trip": f"with {clean} select document, lang as country, source as company, year, 'Unknown' as doc_type, md5(t) as clean_md5 from py",
-        "zone_file_round_trip": f"with {_ZONES}, zz as (select doc_id, count(*) as n_zones, md5(string_agg(text, repeat(chr(10), 4) order by start_char)) as text_md5 from z group by doc_id) select doc_id || '.pdf' as file, 'data/pdf/' || lang || '/' || source || '/' || doc_id || '.pdf' as path, 'data/chunks_lexical/' || lang || '/' || source || '/' || doc_id || '.json' as zone_path, n_zones, 'keyword_zone' as zone_source, text_md5 from zz join documents using (doc_id)",
+        "zone_file_round_trip": f"with {_ZONES}, zz as (select doc_id, count(*) as n_zones, md5(string_agg(text, repeat(chr(10), 4) order by start_char)) as text_md5 from z group by doc_id) select doc_id || '.pdf' as file, 'data/pdf/' || lang || '/' || source || '/' || doc_id || '.pdf' as path, 'data/chunks_lexical/' || lang || '/' || source || '/' || doc_id || '.json' as zone_path, n_zones, 'keyword_zone' as zone_source, '' as section, text_md5 from zz join documents using (doc_id)",
+        "zone_file_errors": "select page_id, case when page_id % 3 = 0 or page_id % 5 = 0 then '' else url end as relevant_text, case when page_id % 3 = 0 then 'not JSON' when page_id % 5 = 0 then 'no relevant_text' else '' end as reason from pages",
         "result_round_trip": f"with {_INDEX} select doc_id, round(sen, 4) as sen, round(idx, 4) as idx, case when idx > 0 then 'Flagged' else 'Not flagged' end as label from ix join co using (doc_id)",
         "word_lists": "select * from (values " + ", ".join(f"('{k}', '{w}')" for k, ws in {"terms": ["carbon", "solar", "wind"], "lines": WORDS_FILE, "hedges": ["from", "that", "this", "with"]}.items() for w in ws) + ") as v(list, word)",
         "dictionary_terms": f"with w as (select doc_id, unnest({_WORDS.format(f'lower({_ASCII})')}) as word from documents), f as (select word, count(distinct doc_id) as df from w where word not in {_in(sorted(set(vocab.TOPIC_STOP_WORDS)))} group by word) select word, df from f where df >= 5 and df <= 0.85 * (select count(*) from documents)",

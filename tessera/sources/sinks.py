@@ -30,16 +30,16 @@ def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(a).alias(c) for a, c in names.items()])
 
 
-def zones(zone: DataFrame, files: DataFrame, path: str, per_document: bool = True) -> None:
-    """JSON of each document with zones, in folders of country, company and, per_document, document; files: (doc_id, document, path, country, company).
+def zones(zone: DataFrame, files: DataFrame, path: str) -> None:
+    """A JSON file for each document with zones, under path at the place that mirrors the document's own; files: (doc_id, document, path)."""
+    from . import zonefiles
 
-    zone_path is where a tree that mirrors the documents' own would hold it.
-    """
     held = F.struct("text", "start_char", "end_char", "source", "section", "kw_count", "keywords_found", "word_count", "kw_density")
     per = zone.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_char", held.alias("z")))), lambda x: x["z"]).alias("zones"))
     out = per.withColumn("relevant_text", F.array_join(F.transform("zones", lambda z: z["text"]), "\n\n\n\n")).join(files, "doc_id")
-    by = ["country", "company", "document"] if per_document else ["country", "company"]
-    out.select(F.col("document").alias("file"), "path", T.zone_path(F.col("path")).alias("zone_path"), "zones", "relevant_text", *by).write.mode("overwrite").partitionBy(*by).json(path)
+    zonefiles.register(zone.sparkSession)
+    rows = out.select(T.zone_path(F.col("path")).alias("zone_path"), F.col("document").alias("file"), "path", "zones", "relevant_text")
+    rows.write.format(zonefiles.FORMAT).mode("overwrite").save(path)
 
 
 def corpus(df: DataFrame, path: str) -> None:

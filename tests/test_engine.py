@@ -53,7 +53,7 @@ def test_scalar_functions(spark):
     for cell, kind in (("0", None), (None, None), (" CSR ", "CSR"), ("0.0", None)):
         assert value(spark, T.cell(F.col("t")), t=cell) == kind
     assert value(spark, T.running_key(F.col("t")), t=" Page 12 of ３4 ") == "Page # of #"
-    assert value(spark, T.zone_path(F.col("t")), t="data/pdf/x/pdfs/a.pdf.pdf") == "data/chunks_lexical/x/pdfs/a.pdf.json"
+    assert value(spark, T.zone_path(F.col("t")), t="data/pdf/x/pdfs/a.pdf.pdf") == "data/chunks_lexical/x/chunks_lexicals/a.chunks_lexical.json"
     assert [T.normal_name(x) for x in ("VINCI S.A", "  Société  Générale ", None, "L'Oréal")] == ["VINCI S A", "SOCIETE GENERALE", None, "L OREAL"]
     lists = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in lists.select(T.jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0]

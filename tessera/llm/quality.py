@@ -45,7 +45,7 @@ class Network:
     def pooled(self, raw: np.ndarray) -> np.ndarray:
         """The whole text piece by piece, neighbours overlapping by half a chunk, so that memory is bounded."""
         best = np.zeros(FILTERS, np.float32)
-        for at in range(0, max(1, len(raw)), _PIECE):
+        for at in range(0, max(1, len(raw) - STRIDE), _PIECE):  # no piece of half a chunk, which the one before holds
             np.maximum(best, self.responses(raw[at : at + _PIECE + STRIDE]).max(0), out=best)
         return best
 

@@ -27,8 +27,10 @@ def tokenizer() -> str:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the labelled rows of docs that aren't held out; rows that score 0.5 or more go."""
-    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
-    return toxicity.classified(docs, model).where("predicted = 0").select(docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), load(spark, sf_dir, "labels"))
+    own = {c: c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes
+    scored = toxicity.classified(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()]), model)
+    return scored.where("predicted = 0").select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

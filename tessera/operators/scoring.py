@@ -11,10 +11,30 @@ from ..functions import vocab
 
 
 def _term_counts(text: Column, terms: list[str]) -> Column:
-    """How often each of the terms occurs, as an array in their order."""
+    """How often each of the terms occurs, as an array in their order.
+
+    The hits of one alternation become lines, and a term's count is what removing its lines takes off the length.
+    """
     pattern = r"\b(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")\b"
-    each = F.array(*[F.lit(t) for t in terms])
-    return T.let(T.found(F.lower(text), pattern), lambda hits: F.transform(each, lambda t: F.size(F.filter(hits, lambda h: h == t))))
+    hits = T.found(F.lower(text), pattern)
+    joined = F.concat(F.lit("\n"), F.array_join(hits, "\n\n"), F.lit("\n"))  # a line for each hit, so that a term is counted without a loop
+    count = lambda held, t: ((F.length(held) - F.length(F.replace(held, F.lit(f"\n{t}\n"), F.lit("")))) / (len(t) + 2)).cast("int")
+    return T.let(joined, lambda held: F.array(*[count(held, t) for t in terms]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its splits are fewer, as those of a small file are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that what is worked out of texts is worked out once."""
+    from ..sources.sinks import scratch
+
+    path = scratch(df.sparkSession, "components")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _distinct(terms: list[str]) -> list[str]:
@@ -37,7 +57,8 @@ def with_breadth(df: DataFrame, counts: str, out: str = "sus") -> DataFrame:
 def breadth(docs: DataFrame, terms: list[str] = vocab.TERMS) -> DataFrame:
     """(doc_id, sus) of with_breadth; documents without hits score 0 and count in N."""
     terms = _distinct(terms)
-    return with_breadth(docs.select("doc_id", F.coalesce(_term_counts(F.col("text"), terms), F.array_repeat(F.lit(0), len(terms))).alias("_tf")), "_tf").select("doc_id", "sus")
+    held = spread(docs.select("doc_id", "text")).select("doc_id", F.coalesce(_term_counts(F.col("text"), terms), F.array_repeat(F.lit(0), len(terms))).alias("_tf"))
+    return with_breadth(_numbers(held), "_tf").select("doc_id", "sus")
 
 
 def _polarity(text: Column, positive: list[str], negative: list[str], stem: bool, stop_words: list[str] = ()) -> Column:
@@ -69,7 +90,7 @@ def _polarity(text: Column, positive: list[str], negative: list[str], stem: bool
 
 def polarity(docs: DataFrame, positive: list[str], negative: list[str], stem: bool = False, stop_words: list[str] = ()) -> DataFrame:
     """(doc_id, sen): (P - N) / (P + N + 1e-6) over the text's words of the two lists, or over their stems; a null text scores 0."""
-    return docs.select("doc_id", _polarity(F.col("text"), positive, negative, stem, stop_words).alias("sen"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", _polarity(F.col("text"), positive, negative, stem, stop_words).alias("sen"))
 
 
 def _quant(text: Column, patterns: dict[str, str]) -> Column:
@@ -119,15 +140,18 @@ def flag_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n_docs"), over("idx").alias("n_flagged"), over("idx_ext").alias("n_flagged_ext"))
 
 
-def with_components(docs: DataFrame, terms: list[str], positive: list[str], negative: list[str], hedges: list[str], patterns: dict[str, str] = vocab.QUANT_PATTERNS, stem: bool = False, text: str = "text") -> DataFrame:
-    """docs with sus, sen, quant and hedge of a text column, all in one pass over the texts but for the documents of each term."""
+def with_components(docs: DataFrame, terms: list[str], positive: list[str], negative: list[str], hedges: list[str], patterns: dict[str, str] = vocab.QUANT_PATTERNS, stem: bool = False, text: str = "text", stop_words: list[str] = (), keep_text: bool = True) -> DataFrame:
+    """docs with sus, sen, quant and hedge of a text column, which is read once: what each text gives is stored, and documents of terms are counted in that.
+
+    stop_words don't count in polarity. Without keep_text the text column goes.
+    """
     terms = _distinct(terms)
     col = F.col(text)
     tf = F.coalesce(_term_counts(col, terms), F.array_repeat(F.lit(0), len(terms)))
-    parts = docs.withColumns({"_tf": tf, "sen": _polarity(col, positive, negative, stem), "quant": _quant(col, patterns), "hedge": _hedge(col, hedges)})
-    return with_breadth(parts, "_tf").drop("_tf")
+    parts = spread(docs).withColumns({"_tf": tf, "sen": _polarity(col, positive, negative, stem, stop_words), "quant": _quant(col, patterns), "hedge": _hedge(col, hedges)})
+    return with_breadth(_numbers(parts if keep_text else parts.drop(text)), "_tf").drop("_tf")
 
 
-def scored(docs: DataFrame, terms: list[str], positive: list[str], negative: list[str], hedges: list[str], patterns: dict[str, str] = vocab.QUANT_PATTERNS, stem: bool = False) -> DataFrame:
+def scored(docs: DataFrame, terms: list[str], positive: list[str], negative: list[str], hedges: list[str], patterns: dict[str, str] = vocab.QUANT_PATTERNS, stem: bool = False, stop_words: list[str] = ()) -> DataFrame:
     """All components and indices of (doc_id, text) documents, a row for each of them."""
-    return indexed(with_components(docs.select("doc_id", "text"), terms, positive, negative, hedges, patterns, stem).drop("text"))
+    return indexed(with_components(docs.select("doc_id", "text"), terms, positive, negative, hedges, patterns, stem, stop_words=stop_words, keep_text=False))

@@ -129,9 +129,11 @@ def pair_counts(toks: DataFrame, topics: DataFrame, window: int | None) -> DataF
     single = seen.groupBy("term").agg(F.sum(_length(F.col("spans"))).cast("double").alias("n"))
     a, b = topics.select("topic_id", F.col("rank").alias("i"), F.col("term").alias("wi")), topics.select("topic_id", F.col("rank").alias("j"), F.col("term").alias("wj"))
     pairs = a.join(b, "topic_id")
-    x, y = seen.select("doc_id", F.col("term").alias("wi"), F.col("spans").alias("si")), seen.select("doc_id", F.col("term").alias("wj"), F.col("spans").alias("sj"))
-    both = x.join(y, "doc_id").join(F.broadcast(pairs.select("wi", "wj").distinct()), ["wi", "wj"], "left_semi").groupBy("wi", "wj").agg(F.sum(_overlap(F.col("si"), F.col("sj"))).cast("double").alias("nij"))
-    out = pairs.join(both, ["wi", "wj"], "left").join(single.select(F.col("term").alias("wi"), F.col("n").alias("ni")), "wi", "left").join(single.select(F.col("term").alias("wj"), F.col("n").alias("nj")), "wj", "left").crossJoin(F.broadcast(total))
+    placed = seen.join(F.broadcast(topics.select("topic_id", "term").distinct()), "term")  # a few words for each topic
+    x, y = placed.select("doc_id", "topic_id", F.col("term").alias("wi"), F.col("spans").alias("si")), placed.select("doc_id", "topic_id", F.col("term").alias("wj"), F.col("spans").alias("sj"))
+    one_way = x.join(y, ["doc_id", "topic_id"]).where("wi <= wj").groupBy("topic_id", "wi", "wj").agg(F.sum(_overlap(F.col("si"), F.col("sj"))).cast("double").alias("nij"))
+    both = one_way.union(one_way.where("wi <> wj").select("topic_id", F.col("wj").alias("wi"), F.col("wi").alias("wj"), "nij"))
+    out = pairs.join(both, ["topic_id", "wi", "wj"], "left").join(single.select(F.col("term").alias("wi"), F.col("n").alias("ni")), "wi", "left").join(single.select(F.col("term").alias("wj"), F.col("n").alias("nj")), "wj", "left").crossJoin(F.broadcast(total))
     return out.na.fill(0.0, ["ni", "nj", "nij"])
 
 

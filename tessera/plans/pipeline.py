@@ -40,9 +40,9 @@ def reloaded(spark: SparkSession, path: str, dim: DataFrame | None = None) -> Da
     return metadata.with_doc_type(stored, dim) if dim is not None else stored.withColumn("doc_type", F.coalesce("doc_type", F.lit("Unknown")))
 
 
-def score(corpus: DataFrame, positive: list[str], negative: list[str], hedges: list[str], terms: list[str] = vocab.TERMS, stem: bool = True, quant_source: DataFrame | None = None) -> DataFrame:
+def score(corpus: DataFrame, positive: list[str], negative: list[str], hedges: list[str], terms: list[str] = vocab.TERMS, stem: bool = True, quant_source: DataFrame | None = None, polarity_stop_words: list[str] = ()) -> DataFrame:
     """corpus with components, indices and labels. quant_source: (doc_id, text) of raw texts, as clean ones hold no numbers."""
-    out = scoring.with_components(corpus, terms, positive, negative, hedges, stem=stem, text="clean_text")
+    out = scoring.with_components(corpus, terms, positive, negative, hedges, stem=stem, text="clean_text", stop_words=polarity_stop_words)
     if quant_source is not None:
         out = out.drop("quant").join(scoring.quant(quant_source), "doc_id", "left").fillna(0.0, ["quant"])
     return scoring.indexed(out)

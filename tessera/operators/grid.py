@@ -18,6 +18,7 @@ from . import topics
 
 Key = tuple[int, str, int]
 _BY = ["alpha", "num_topics", "iter"]
+_TOPICS = "topic_id int, rank int, term string, weight double"
 _COHERENCE = "c_v double, u_mass double, c_npmi double, alpha string, num_topics int, iter int"
 
 
@@ -37,9 +38,10 @@ def coherence(spark: SparkSession, path: str) -> DataFrame:
 
 
 def model_table(spark: SparkSession, path: str, name: str, key: Key) -> DataFrame:
-    """The rows of a model in the table `topics` or `mixtures`."""
+    """The rows of a model in the table `topics` or `mixtures`; a dictionary without words gives no topics."""
     k, alpha, run = key
-    return spark.read.parquet(f"{path}/{name}").where((F.col("num_topics") == k) & (F.col("alpha").cast("string") == alpha) & (F.col("iter") == run)).drop(*_BY)
+    read = spark.read.schema(f"{_TOPICS}, alpha string, num_topics int, iter int") if name == "topics" else spark.read
+    return read.parquet(f"{path}/{name}").where((F.col("num_topics") == k) & (F.col("alpha").cast("string") == alpha) & (F.col("iter") == run)).drop(*_BY)
 
 
 def run(rows: DataFrame, dictionary_model: CountVectorizerModel, toks: DataFrame, path: str, counts: tuple = vocab.TOPIC_COUNTS, alphas: tuple = vocab.TOPIC_ALPHAS, runs: int = vocab.TOPIC_RUNS, max_iter: int = 50, at_once: int = 4, save: Callable[[Key, LDAModel], None] | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def _paras(spark: SparkSession, sf_dir: str, headings: bool = False) -> DataFram
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ascii(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(T.found(F.lower("text"), "[a-z]+")).alias("place", "token"))
+    return scoring.spread(_ascii(spark, sf_dir)).select("doc_id", "source", "lang", F.posexplode(T.found(F.lower("text"), "[a-z]+")).alias("place", "token"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,12 @@ def keyword_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zones(spark, sf_dir).select("doc_id", long("zone_id"), long("lo"), long("hi"), "start_char", "end_char", F.md5("text").alias("text_md5"), "kw_count", "word_count", "kw_density")
 
 
+def zone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of texts with headings, and the section that a zone's first paragraph is in."""
+    out = Z.zones(_paras(spark, sf_dir, True), KEYWORDS)
+    return out.select("doc_id", F.col("zone_id").cast("long").alias("zone_id"), "start_char", "end_char", F.md5("section").alias("section_md5"))
+
+
 def zone_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zones(spark, sf_dir).select("doc_id", F.col("zone_id").cast("long").alias("zone_id"), F.array_join("keywords_found", ",").alias("keywords"))
 
@@ -443,7 +449,7 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
 
 
-_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
+_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_sections, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -626,6 +632,7 @@ def oracle_sql() -> dict[str, str]:
         "paragraph_density": f"with {_COUNTED} select doc_id, para_idx, kw_count, word_count, round(density, 4) as density from h",
         "hot_paragraphs": f"with {_COUNTED} select doc_id, para_idx, kw_count from h where density >= 1.0",
         "keyword_zones": f"with {_ZONES} select doc_id, zone_id, lo, hi, start_char, end_char, md5(text) as text_md5, kw_count, word_count, kw_density from z",
+        "zone_sections": "with " + _ZONES.replace(_PARAS, _UNITS.format(marker=_HEADING)).replace("min(para_idx) as lo", "min(para_idx) as lo, arg_min(section, para_idx) as section") + " select doc_id, zone_id, start_char, end_char, md5(section) as section_md5 from z",
         "zone_keywords": f"with {_ZONES} select doc_id, zone_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_KW}'), lambda x: lower(x)))), ',') as keywords from z",
         "char_offsets": f"with {_PARAS} select doc_id, para_idx, start_char, end_char from p",
         "section_carry": f"with {_UNITS.format(marker=_HEADING)} select doc_id, para_idx, section_idx, md5(section) as section_md5, start_char from p",

@@ -252,12 +252,58 @@ def test_passages_among_many_holders_of_their_parts(spark):
     rows = {k: parts[k % 3] for k in range(12)} | {20: p, 21: p, 22: p[:40] + ["other"] + p[40:]} | {k: parts[k % 3] for k in range(30, 42)} | {k: line for k in range(50, 90)}
     docs = spark.createDataFrame([(k, " ".join(fill(30) + v + fill(k % 7))) for k, v in rows.items()], "doc_id long, text string")
     got = {(x["doc_id"], x["other_id"]): x for x in passages.repeated_passages(docs).collect()}
-    assert {(21, 20)} <= got.keys() <= {(21, 20), (22, 20), (22, 21)}
+    assert {(21, 20)} <= got.keys() <= {(21, 20), (22, 20), (22, 21)} and linked(got) == {frozenset((20, 21, 22))}
     assert [got[21, 20][k] for k in ("start", "end", "other_start", "other_end", "identity")] == [30, 110, 30, 110, 1.0]
     one = spark.createDataFrame([(k, " ".join(fill(30) + p[k : k + 50] + fill(30))) for k in range(30)], "doc_id long, text string")
     assert passages.repeated_passages(one).count() == 0  # each two share 49 words at most
 
 
+def linked(pairs):
+    """The sets of documents that pairs connect."""
+    sets = []
+    for p in pairs:
+        held = [x for x in sets if x & set(p)]
+        sets = [x for x in sets if not x & set(p)] + [frozenset(p).union(*held)]
+    return set(sets)
+
+
+def test_fuzzy_passages_among_fragments_before_and_after(spark):
+    r = random.Random(31)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p = fill(80)
+    parts = [p[:49], p[31:], p[15:64]]
+    changed = p[:40] + ["other"] + p[40:]
+    rows = {k: parts[k % 3] for k in range(12)} | {20: p, 21: p, 22: changed, 23: changed} | {k: parts[k % 3] for k in range(30, 42)}
+    docs = spark.createDataFrame([(k, " ".join(fill(30) + v + fill(5 + k % 7))) for k, v in rows.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["other_id"]) for x in passages.repeated_passages(docs).collect()}
+    assert linked(got) == {frozenset((20, 21, 22, 23))}
+
+
+def test_copies_with_changed_words_among_fragments(spark):
+    r = random.Random(32)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p = fill(90)
+    rows = {}
+    for k in range(100, 112):
+        rows[k] = list(p)
+        for at in r.sample(range(90), 3):
+            rows[k][at] = fill(1)[0]
+    rows |= {k: p[at : at + 45] for k, at in zip([*range(80, 92), *range(120, 132)], [r.randrange(46) for _ in range(24)])}
+    docs = spark.createDataFrame([(k, " ".join(fill(30) + v + fill(30))) for k, v in rows.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["other_id"]) for x in passages.repeated_passages(docs).collect()}
+    assert linked(got) == {frozenset(range(100, 112))}
+
+
+def test_passages_of_several_texts_of_an_id(spark):
+    r = random.Random(33)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p, q = fill(60), fill(70)
+    texts = [(5, fill(30) + p + fill(9)), (5, fill(80) + q), (5, fill(60)), (7, fill(4) + p), (2, q + fill(3)), (7, fill(4)), (5, None), (None, p)]
+    docs = spark.createDataFrame([(k, v and " ".join(v)) for k, v in texts] * 2, "doc_id long, text string")
+    got = {tuple(x) for x in passages.repeated_passages(docs).select("doc_id", "other_id", "start", "end", "other_start", "other_end", "n_words", "identity").collect()}
+    assert got == {(7, 5, 4, 64, 30, 90, 60, 1.0), (5, 2, 80, 150, 0, 70, 70, 1.0)}
+
+
 def test_templates_of_marked_pages(spark):
     page = "<html><body><div class=top>Welcome</div><article><p>Text {0} of page<p>Tell your friends about us</article><div>All rights</div></body></html>"
     teasers = "<html><body><article><p>Teaser {0}</article><article><p>More {0}</article><div class=c><p>The long text of page {0} that is what it is for</div></body></html>"

@@ -16,14 +16,57 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.found(bare, r"[\p{L}\p{N}]+")).alias("place", "token"))
 
 
-def kept_tokens(toks: DataFrame, stop_words: list[str] | None = None, lemmas: DataFrame | None = None, custom: list[str] | None = None) -> DataFrame:
+#: Letters of the longest suffix that a rule is learned for, and the pairs a rule needs.
+LONGEST_SUFFIX, LEAST_PAIRS = 6, 2
+
+
+def _suffixes(df: DataFrame, longest: int) -> DataFrame:
+    """df with each suffix of its token, of 0 to `longest` letters (k)."""
+    upto = F.least(F.length("token"), F.lit(longest))
+    return df.withColumn("k", F.explode(F.sequence(F.lit(0), upto))).withColumn("suffix", F.right("token", F.col("k")))
+
+
+def lemma_rules(pairs: DataFrame, longest: int = LONGEST_SUFFIX, least: int = LEAST_PAIRS) -> DataFrame:
+    """(suffix, strip, append, n): for each suffix of tokens in (token, lemma), the change of the most of its n pairs.
+
+    A pair's change strips the letters after the common beginning and appends the lemma's; it counts for
+    the suffixes that hold all stripped letters. Ties go to the fewer letters stripped, then the lesser
+    string appended; suffixes whose change has under `least` pairs have no rule. Repeated pairs count
+    once; nulls and empty strings have no part. No pairs give no rules.
+    """
+    held = pairs.select("token", "lemma").where("token <> '' and lemma <> ''").distinct()
+    same = F.filter(F.sequence(F.lit(1), F.least(F.length("token"), F.length("lemma"))), lambda i: F.left("token", i) == F.left("lemma", i))
+    held = held.withColumn("_same", F.size(same))
+    change = held.select("token", (F.length("token") - F.col("_same")).alias("strip"), F.expr("substring(lemma, _same + 1)").alias("append"))
+    counted = _suffixes(change, longest).where("strip <= k").groupBy("suffix", "strip", "append").agg(F.count("*").alias("n"))
+    best = counted.groupBy("suffix").agg(F.min(F.struct((-F.col("n")).alias("n"), "strip", "append")).alias("best"))
+    return best.select("suffix", "best.strip", "best.append", (-F.col("best.n")).alias("n")).where(F.col("n") >= least)
+
+
+def lemma_table(toks: DataFrame, pairs: DataFrame, longest: int = LONGEST_SUFFIX, least: int = LEAST_PAIRS) -> DataFrame:
+    """(token, lemma) of each distinct token of toks: its lemma in pairs (the least of several), else what the rule of its longest suffix with one makes of it, else itself.
+
+    A rule that would leave nothing isn't used. Rules are joined once for each distinct token and suffix. Null tokens have no row.
+    """
+    own = pairs.where("token <> '' and lemma <> ''").groupBy("token").agg(F.min("lemma").alias("_own"))
+    held = toks.select("token").where("token is not null").distinct().join(own, "token", "left")
+    rule = _suffixes(held.where("_own is null").select("token"), longest).join(lemma_rules(pairs, longest, least), "suffix")
+    made = rule.groupBy("token").agg(F.max(F.struct("k", "strip", "append")).alias("_rule"))
+    learned = F.nullif(F.concat(F.left("token", F.length("token") - F.col("_rule.strip")), F.col("_rule.append")), F.lit(""))
+    return held.join(made, "token", "left").select("token", F.coalesce("_own", learned, "token").alias("lemma"))
+
+
+def kept_tokens(toks: DataFrame, stop_words: list[str] | None = None, lemmas: DataFrame | None = None, custom: list[str] | None = None, unseen: bool = False) -> DataFrame:
     """toks with lemma, of alphabetic tokens of over two letters that are no stop-words, nor their lemmas custom ones.
 
-    lemmas: (token, lemma), optional; other tokens are their own lemmas.
+    lemmas: (token, lemma), optional; other tokens are their own lemmas, or, with `unseen`, get theirs by
+    the suffix rules that lemmas teaches (lemma_table).
     """
     out = toks.where(F.col("token").rlike(r"^\p{L}+$") & (F.length("token") > 2))
     if stop_words:
         out = out.where(~F.col("token").isin(stop_words))
+    if unseen and lemmas is not None:
+        lemmas = lemma_table(out, lemmas)
     out = out.join(lemmas, "token", "left").withColumn("lemma", F.coalesce("lemma", "token")) if lemmas is not None else out.withColumn("lemma", F.col("token"))
     custom = vocab.STOP_WORDS if custom is None else custom
     return out.where(~F.col("lemma").isin(custom)) if custom else out

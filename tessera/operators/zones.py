@@ -31,7 +31,7 @@ def running_blocks(blocks: DataFrame, pages: DataFrame, share: float = vocab.RUN
 
 def units(blocks: DataFrame, pages: DataFrame, keywords: str | None = None) -> DataFrame:
     """(doc_id, unit_idx, text, is_marker): clean paragraphs and section headings of page blocks, in reading order."""
-    keywords = keywords or T.keyword_pattern()
+    keywords = keywords or T.trie_pattern()
     body = in_order(blocks).where(~in_band()).withColumn("text", T.strip(F.col("text"))).where("text <> ''")
     body = body.withColumn("key", T.running_key(F.col("text"))).join(running_blocks(blocks, pages), [DOC, "key"], "left_anti").where(~T.is_table(F.col("text"), keywords))
     body = body.withColumn("is_marker", T.is_heading(F.col("text"))).withColumn("text", T.clean_block(F.col("text"))).where("text <> ''")
@@ -71,7 +71,7 @@ def zones(paras: DataFrame, keywords: str | None = None, threshold: float = voca
     Overlapping and adjacent windows are one zone, that is, a maximal run of kept paragraphs. Counts are of
     the joined text, so a pattern may match over a paragraph's end. Zones under `least` characters go.
     """
-    keywords = keywords or T.keyword_pattern()
+    keywords = keywords or T.trie_pattern()
     order = Window.partitionBy(DOC).orderBy("para_idx")
     hot = counted(paras, keywords).withColumn("kept", F.max((F.col("density") >= threshold).cast("int")).over(order.rowsBetween(-context, context)))
     runs = hot.where("kept = 1").withColumn("run", F.col("para_idx") - F.row_number().over(order))

@@ -22,11 +22,11 @@ def extract(blocks: DataFrame, pages: DataFrame, keywords: str | None = None, **
     return Z.zones(Z.paragraphs(Z.units(blocks, pages, keywords)), keywords, **options)
 
 
-def preprocess(texts: DataFrame, dim: DataFrame | None = None, stop_words: list[str] | None = None, lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, document, country, company, year, doc_type, clean_text) of (doc_id, path, relevant_text) rows; empty texts go. stop_words: None for common English ones."""
+def preprocess(texts: DataFrame, dim: DataFrame | None = None, stop_words: list[str] | None = None, lemmas: DataFrame | None = None, unseen: bool = False) -> DataFrame:
+    """(doc_id, document, country, company, year, doc_type, clean_text) of (doc_id, path, relevant_text) rows; empty texts go. stop_words: None for common English ones. unseen: see kept_tokens."""
     stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     named = readers.with_path_parts(texts.where("relevant_text <> ''"))
-    clean = lexical.clean_text(lexical.kept_tokens(lexical.tokens(named.select("doc_id", F.col("relevant_text").alias("text"))), stop_words, lemmas))
+    clean = lexical.clean_text(lexical.kept_tokens(lexical.tokens(named.select("doc_id", F.col("relevant_text").alias("text"))), stop_words, lemmas, unseen=unseen))
     out = named.join(clean, "doc_id").withColumn("year", T.year_of_name(F.col("document"))).where("clean_text <> ''")
     out = metadata.with_doc_type(out, dim) if dim is not None else out.withColumn("doc_type", F.lit("Unknown"))
     return out.select("doc_id", "document", "country", "company", "year", "doc_type", "clean_text")

@@ -306,10 +306,35 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the whole default vocabulary, terms and extra patterns, in phrases made of order keys."""
     hits = F.col("hits")
-    out = T.once(_phrases(spark, sf_dir), "hits", T.found(F.col("text"), T.keyword_pattern()))
+    out = T.once(_phrases(spark, sf_dir), "hits", T.found(F.col("text"), T.trie_pattern()))
     return out.select("o_orderkey", F.size(hits).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform(hits, F.lower))), ",").alias("keywords"))
 
 
+#: A vocabulary of 5,202 terms is made of two and three of these.
+SYLLABLES = ["the", "ing", "and", "of", "er", "re", "wh", "on", "in", "or", "an", "ti", "en", "ed", "ha", "nt", "th"]
+MANY_TERMS = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in ["", *SYLLABLES]]
+
+
+def keyword_large_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a vocabulary of thousands of terms in all documents."""
+    hits = F.col("hits")
+    out = T.once(scoring.spread(_ascii(spark, sf_dir)), "hits", T.found(F.col("text"), T.trie_pattern(MANY_TERMS, [])))
+    keywords = F.array_sort(F.array_distinct(F.transform(hits, F.lower)))
+    return out.select("doc_id", F.size(hits).cast("long").alias("n"), F.size(keywords).cast("long").alias("n_distinct"), F.md5(F.array_join(keywords, ",")).alias("keywords_md5"))
+
+
+#: Stands in for a table of lemmas, which the tables don't hold.
+LEMMA = "case when length(token) > 5 and token like '%ies' then substr(token, 1, length(token) - 3) || 'y' when length(token) > 5 and token like '%ing' then substr(token, 1, length(token) - 3) when length(token) > 4 and token like '%ed' then substr(token, 1, length(token) - 1) when length(token) > 3 and token like '%s' and token not like '%ss' then substr(token, 1, length(token) - 1) else token end"
+UNSEEN = "substr(md5(token), 1, 1) in ('0', '1', '2')"
+
+
+def lemma_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of all tokens, where the pairs of some are held out: those get theirs by suffix rules that the others teach."""
+    pairs = _tokens(spark, sf_dir).select("token").where("length(token) > 2").distinct().selectExpr("token", f"{LEMMA} as true_lemma", f"{UNSEEN} as held_out")
+    made = lexical.lemma_table(pairs, pairs.where("not held_out").withColumnRenamed("true_lemma", "lemma"))
+    return pairs.join(made, "token").select("token", "held_out", "true_lemma", "lemma")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as files of pages: two lines are a block, ten blocks a page. The first block of a page is a running header, which some pages repeat in the body; lines of some documents are short."""
     lines = F.split("text", "\n")
@@ -449,7 +474,7 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
 
 
-_ALL = (keyword_pattern_hits, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_sections, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
+_ALL = (keyword_pattern_hits, keyword_large_vocabulary, lemma_suffix_rules, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_sections, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -646,6 +671,8 @@ def oracle_sql() -> dict[str, str]:
         "doc_type_lookup": f"with {types} select d.doc_id, coalesce(ty.doc_type, 'Unknown') as doc_type from documents d left join ty on ty.doc_id = d.doc_id and ty.year = 2018 + d.doc_id % 2",
         "alias_lookup": "select n_nationkey, case upper(trim(n_name)) " + " ".join(f"when '{k}' then '{v}'" for k, v in ALIASES.items()) + " else upper(trim(n_name)) end as name from nation",
         "name_normalize": "select s_suppkey, trim(regexp_replace(regexp_replace(strip_accents(upper(trim(s_name))), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) as name from supplier",
+        "keyword_large_vocabulary": f"with s as (select unnest({_list(SYLLABLES)}) as s), v as (select x.s || y.s || z.s as t from s x, s y, (select s from s union all select '') z), w as (select doc_id, lower(unnest(regexp_extract_all({_ASCII}, '\\w+'))) as w from documents), h as (select doc_id, w from w where w in (select t from v) or (w like '%s' and left(w, -1) in (select t from v))), c as (select doc_id, count(*) as n, count(distinct w) as n_distinct, md5(string_agg(distinct w, ',' order by w)) as keywords_md5 from h group by doc_id) select doc_id, coalesce(n, 0) as n, coalesce(n_distinct, 0) as n_distinct, coalesce(keywords_md5, md5('')) as keywords_md5 from documents left join c using (doc_id)",
+        "lemma_suffix_rules": f"with {_TOK}, p as (select token, {LEMMA} as true_lemma, {UNSEEN} as held_out from (select distinct token from tk where len(token) > 2)), c as (select *, len(list_filter(range(1, least(len(token), len(true_lemma)) + 1), lambda i: left(token, i) = left(true_lemma, i))) as c from p where not held_out), e as (select right(token, cast(k as bigint)) as suffix, len(token) - c as strip, substr(true_lemma, c + 1) as app from c, range(0, 7) r(k) where k <= len(token) and len(token) - c <= k), g as (select suffix, strip, app, count(*) as n from e group by suffix, strip, app), b as (select * from g qualify row_number() over (partition by suffix order by n desc, strip, app) = 1), m as (select token, left(token, len(token) - strip) || app as lemma from p, range(0, 7) r(k), b where held_out and k <= len(token) and suffix = right(token, cast(k as bigint)) and n >= 2 qualify row_number() over (partition by token order by k desc) = 1) select token, held_out, true_lemma, case when held_out then coalesce(nullif(m.lemma, ''), token) else true_lemma end as lemma from p left join m using (token)",
         "token_filter": f"with {_TOK} select doc_id, count(*) as n, count(distinct token) as n_distinct from tk where len(token) > 2 and token not in {_in(HEDGES + NEGATIVE + POSITIVE)} group by doc_id",
         "quant_density": f"with {_COMPONENTS} select doc_id, round(quant, 6) as quant from co",
         "hedge_density": f"with {_COMPONENTS} select doc_id, round(hedge, 6) as hedge from co",

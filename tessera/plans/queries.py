@@ -409,6 +409,22 @@ def zone_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.zone_files(spark, path).select("file", "path", F.regexp_extract("json_path", "(data/.*)$", 1).alias("zone_path"), F.size("zones").cast("long").alias("n_zones"), first("source").alias("zone_source"), first("section").alias("section"), F.md5("relevant_text").alias("text_md5"))
 
 
+def zones_of_landing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword zones of all documents, whose pages of ten lines land in files of their own and in several batches."""
+    from ..sources import sinks
+    from ..streaming import landing
+
+    source, path, checkpoint = (sinks.scratch(spark, name) for name in ("pages", "landed-zones", "landing"))
+    lines = F.split("text", "\n")
+    n = F.ceil(F.size(lines) / 10).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(lines, i * 10 + 1, 10), "\n"))
+    pages = _docs(spark, sf_dir).where("text is not null").select("doc_id", n.alias("n_pages"), F.posexplode(cut).alias("page_no", "text"))
+    pages.select("doc_id", "page_no", "n_pages", "text").repartition(6, F.xxhash64("doc_id", "page_no")).write.parquet(source)
+    landing.zones_to_table(spark.readStream.schema(landing.PAGES).option("maxFilesPerTrigger", 3).parquet(source), KEYWORDS, path, checkpoint).awaitTermination()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return spark.read.parquet(path).select("doc_id", long("zone_id"), long("lo"), long("hi"), "start_char", "end_char", F.md5("text").alias("text_md5"), "kw_count", "word_count", "kw_density")
+
+
 def zone_file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as if they were zone files: each third one is broken off, each fifth has another key."""
     from ..sources import readers, sinks
@@ -474,7 +490,7 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.wide(rows.withColumn("dominant_topic", topics.dominant(F.col("probabilities"))), 3)
 
 
-_ALL = (keyword_pattern_hits, keyword_large_vocabulary, lemma_suffix_rules, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_sections, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
+_ALL = (keyword_pattern_hits, keyword_large_vocabulary, lemma_suffix_rules, page_units, metadata_dimension, company_keys, preprocessed, corpus_round_trip, zone_file_round_trip, zones_of_landing_pages, zone_file_errors, result_round_trip, word_lists, dictionary_terms, topic_stability, topic_keywords, topic_distribution, clean_text, paragraph_density, hot_paragraphs, keyword_zones, zone_sections, zone_keywords, char_offsets, section_carry, table_filter, running_lines, anti_join_running, relevant_text, year_from_name, path_parts, doc_type_unpivot, doc_type_lookup, alias_lookup, name_normalize, token_filter, quant_density, hedge_density, tfidf_breadth, polarity, polarity_stemmed, zscore, composite_index, composite_index_ext, flag_summary, doc_frequency, bag_of_words, topk_terms, topic_pair_jaccard, dominant_topic, coherence_umass, coherence_npmi, coherence_cv, topic_fold_in, lda_bound, lda_trained, lda_topics, lda_doc_topics, aligned_stability)
 
 
 def queries() -> dict:
@@ -691,4 +707,5 @@ def oracle_sql() -> dict[str, str]:
         "coherence_npmi": f"with {_coherence(10)} select topic_id, round(avg(v), 6) as c_npmi from pm where i <> j group by topic_id",
         "coherence_cv": f"with {_coherence(110)}, ss as (select topic_id, j, sum(v) as s from pm group by all), cs as (select topic_id, i, sum(v * s) / nullif(sqrt(sum(v * v)) * sqrt(sum(s * s)), 0) as c from pm join ss using (topic_id, j) group by all) select topic_id, round(avg(coalesce(c, 0)), 6) as c_v from cs group by topic_id",
     }
+    out["zones_of_landing_pages"] = out["keyword_zones"]
     return out | _more_sql() | _variational_sql()

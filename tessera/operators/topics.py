@@ -6,7 +6,7 @@ import logging
 
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +18,56 @@ EPS = 1e-12
 log = logging.getLogger(__name__)
 
 
+def topic_tokens(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS) -> DataFrame:
+    """(doc_id, tokens) of (doc_id, clean_text): the words of each document in order that are no stop-words."""
+    kept = T.words(F.col("clean_text"))
+    return clean.select("doc_id", (F.filter(kept, lambda x: ~x.isin(list(stop_words))) if stop_words else kept).alias("tokens"))
+
+
 def prepared(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS, min_df: int = 5, max_df: float = 0.85, most: int = 100_000) -> tuple[DataFrame, CountVectorizerModel]:
-    """((doc_id, tokens, features), dictionary) of (doc_id, clean_text): words in at least min_df documents and at most max_df of them."""
-    toks = clean.select("doc_id", T.words(F.col("clean_text")).alias("_all"))
-    toks = StopWordsRemover(inputCol="_all", outputCol="tokens", stopWords=stop_words, caseSensitive=True).transform(toks).drop("_all")
-    model = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=most).fit(toks)
+    """((doc_id, tokens, features), dictionary) of (doc_id, clean_text): words in at least min_df documents and at most max_df of them.
+
+    A model's dictionary has the `most` most frequent of them, which bounds its matrices; `words_of` has all. Tokens are stored in
+    the shared folder, so that texts are cut once, and the words are counted by Spark; only the model's dictionary is gathered.
+    """
+    toks = _stored(topic_tokens(clean, stop_words), "topic-tokens")
+    words = _limited(_frequencies(toks), toks, min_df, max_df)
+    held = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # bounded by `most`
+    if not held:
+        raise ValueError("no word is in enough documents for a dictionary")
+    model = CountVectorizerModel.from_vocabulary(held, "tokens", "features")
     return model.transform(toks), model
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    from ..sources.sinks import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _frequencies(toks: DataFrame) -> DataFrame:
+    """(word, n, df) of (doc_id, tokens): occurrences, and rows that hold the word; sorted tokens show a row's first ones."""
+    ordered = toks.select(F.sort_array("tokens").alias("t"))
+    marked = ordered.select(F.explode(F.arrays_zip(F.col("t"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("before"))).alias("x"))
+    return marked.where("x.t is not null").groupBy(F.col("x.t").alias("word")).agg(F.count("*").alias("n"), F.count_if(~F.col("x.t").eqNullSafe(F.col("x.before"))).alias("df"))
+
+
+def _limited(words: DataFrame, toks: DataFrame, min_df: float, max_df: float) -> DataFrame:
+    """Words in at least min_df and at most max_df documents; values under 1, and a max_df of 1.0, are shares of all."""
+    n = toks.agg(F.count("*").alias("_all"))
+    limit = lambda x, share: F.col("_all") * x if share else F.lit(float(x))
+    low, high = limit(min_df, min_df < 1), limit(max_df, max_df < 1 or isinstance(max_df, float) and max_df == 1.0)
+    return words.crossJoin(F.broadcast(n)).where((F.col("df") >= low) & (F.col("df") <= high)).drop("_all")
+
+
+def words_of(toks: DataFrame, min_df: int = 5, max_df: float = 0.85) -> DataFrame:
+    """(word, df) of (doc_id, tokens): all words in at least min_df documents and at most max_df of them, however many; df counts doc_ids, max_df is of all rows."""
+    df = document_frequency(toks.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")), "word")
+    return _limited(df, toks, min_df, max_df).select("word", "df")
+
+
 def document_frequency(toks: DataFrame, token: str = "token") -> DataFrame:
     return toks.groupBy(token).agg(F.count_distinct("doc_id").alias("df"))
 

@@ -230,8 +230,12 @@ def coherence_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.c_v(_tokens(spark, sf_dir), _fixed(spark)).select("topic_id", F.round("c_v", 6).alias("c_v"))
 
 
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.spread(_ascii(spark, sf_dir)).select("doc_id", F.coalesce(F.lower("text"), F.lit("")).alias("clean_text"))
+
+
 def _corpus(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    return topics.prepared(_ascii(spark, sf_dir).select("doc_id", F.coalesce(F.lower("text"), F.lit("")).alias("clean_text")))
+    return topics.prepared(_clean(spark, sf_dir))
 
 
 def _lda(spark: SparkSession, sf_dir: str, seed: int = 1):  # noqa: ANN202
@@ -466,8 +470,8 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary of the topic corpus."""
-    return topics.dictionary(*_corpus(spark, sf_dir)).select("word", "df")
+    """The dictionary of the topic corpus, with all words in it."""
+    return topics.words_of(topics.topic_tokens(_clean(spark, sf_dir)))
 
 
 def _model_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

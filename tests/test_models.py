@@ -141,3 +141,14 @@ def test_a_failed_zone_job_leaves_nothing(spark, tmp_path):
     assert [str(p.relative_to(tmp_path)) for p in sorted(tmp_path.rglob("*"))] == ["z", "z/kept.json"]
     table.where("id <> 33").write.format(zonefiles.FORMAT).mode("append").save(str(tmp_path / "z"))
     assert len([p for p in Path(tmp_path / "z").rglob("*") if p.is_file()]) == 40
+
+
+def test_dictionary_has_all_words(spark):
+    """More words than a model's dictionary holds; with repeated ids, an id counts once."""
+    rows = [(i % 6, f"aa{i % 2} bb bb cc{i}") for i in range(12)] + [(None, "bb"), (9, None)]
+    clean = spark.createDataFrame(rows, "doc_id int, clean_text string")
+    held = {r["word"]: r["df"] for r in topics.words_of(topics.topic_tokens(clean, ["cc1"]), min_df=1, max_df=0.85).collect()}
+    assert held == {"bb": 6, "aa0": 3, "aa1": 3} | {f"cc{i}": 1 for i in range(12) if i != 1}
+    made, model = topics.prepared(clean.where("clean_text is not null"), min_df=1, max_df=1.0, most=3)
+    assert model.vocabulary == ["bb", "aa0", "aa1"]
+    assert sorted(r["features"].toArray().tolist() for r in made.where("doc_id is null or doc_id = 0").collect()) == [[1, 0, 0], [2, 1, 0], [2, 1, 0]]

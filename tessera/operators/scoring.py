@@ -28,11 +28,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _numbers(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, name: str = "components") -> DataFrame:
     """df as a table in the shared folder, so that what is worked out of texts is worked out once."""
     from ..sources.sinks import scratch
 
-    path = scratch(df.sparkSession, "components")
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,7 +58,7 @@ def breadth(docs: DataFrame, terms: list[str] = vocab.TERMS) -> DataFrame:
     """(doc_id, sus) of with_breadth; documents without hits score 0 and count in N."""
     terms = _distinct(terms)
     held = spread(docs.select("doc_id", "text")).select("doc_id", F.coalesce(_term_counts(F.col("text"), terms), F.array_repeat(F.lit(0), len(terms))).alias("_tf"))
-    return with_breadth(_numbers(held), "_tf").select("doc_id", "sus")
+    return with_breadth(stored(held), "_tf").select("doc_id", "sus")
 
 
 def _polarity(text: Column, positive: list[str], negative: list[str], stem: bool, stop_words: list[str] = ()) -> Column:
@@ -149,7 +149,7 @@ def with_components(docs: DataFrame, terms: list[str], positive: list[str], nega
     col = F.col(text)
     tf = F.coalesce(_term_counts(col, terms), F.array_repeat(F.lit(0), len(terms)))
     parts = spread(docs).withColumns({"_tf": tf, "sen": _polarity(col, positive, negative, stem, stop_words), "quant": _quant(col, patterns), "hedge": _hedge(col, hedges)})
-    return with_breadth(_numbers(parts if keep_text else parts.drop(text)), "_tf").drop("_tf")
+    return with_breadth(stored(parts if keep_text else parts.drop(text)), "_tf").drop("_tf")
 
 
 def scored(docs: DataFrame, terms: list[str], positive: list[str], negative: list[str], hedges: list[str], patterns: dict[str, str] = vocab.QUANT_PATTERNS, stem: bool = False, stop_words: list[str] = ()) -> DataFrame:

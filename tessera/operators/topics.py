@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from .scoring import stored
 
 EPS = 1e-12
 log = logging.getLogger(__name__)
@@ -30,7 +31,7 @@ def prepared(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS, m
     A model's dictionary has the `most` most frequent of them, which bounds its matrices; `words_of` has all. Tokens are stored in
     the shared folder, so that texts are cut once, and the words are counted by Spark; only the model's dictionary is gathered.
     """
-    toks = _stored(topic_tokens(clean, stop_words), "topic-tokens")
+    toks = stored(topic_tokens(clean, stop_words), "topic-tokens")
     words = _limited(_frequencies(toks), toks, min_df, max_df)
     held = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # bounded by `most`
     if not held:
@@ -39,14 +40,6 @@ def prepared(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS, m
     return model.transform(toks), model
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    from ..sources.sinks import scratch
-
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _frequencies(toks: DataFrame) -> DataFrame:
     """(word, n, df) of (doc_id, tokens): occurrences, and rows that hold the word; sorted tokens show a row's first ones."""
     ordered = toks.select(F.sort_array("tokens").alias("t"))

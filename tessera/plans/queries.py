@@ -335,6 +335,7 @@ UNSEEN = "substr(md5(token), 1, 1) in ('0', '1', '2')"
 def lemma_suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lemmas of all tokens, where the pairs of some are held out: those get theirs by suffix rules that the others teach."""
     pairs = _tokens(spark, sf_dir).select("token").where("length(token) > 2").distinct().selectExpr("token", f"{LEMMA} as true_lemma", f"{UNSEEN} as held_out")
+    pairs = scoring.stored(pairs, "pairs")  # read several times, and the texts only once
     made = lexical.lemma_table(pairs, pairs.where("not held_out").withColumnRenamed("true_lemma", "lemma"))
     return pairs.join(made, "token").select("token", "held_out", "true_lemma", "lemma")
 

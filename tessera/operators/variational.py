@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 STEPS, PASS_STEPS = 50, 5
 #: Weight of a topic of no word at all.
 TINY = 1e-100
+#: Words of documents that are worked on at once, unless one has more.
+_WORDS = 1 << 17
 #: Sums over documents are exact to this many places.
 _EXACT = "decimal(38,12)"
 _STATE = "doc_id {}, terms array<int>, counts array<int>, gamma array<double>"
@@ -47,8 +49,25 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - rise
 
 
-def _total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+def _parts(of: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents lo to hi of a batch with some _WORDS words in all, one document at least; of: where each one's words begin, and the end."""
+    lo = 0
+    while lo < len(of) - 1:
+        hi = max(int(np.searchsorted(of, of[lo] + _WORDS, "right")) - 1, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def _mixtures(of: np.ndarray, n: np.ndarray, b: np.ndarray, gamma: np.ndarray, alpha: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mixtures, each word's document, documents with words) after some rounds from gamma, for many documents at once; n: counts, b: the topics' weights of each word."""
+    row, some = np.repeat(np.arange(len(of) - 1), np.diff(of)), np.flatnonzero(np.diff(of))
+    for _ in range(steps):
+        theta = np.exp(digamma(gamma))
+        gamma = np.tile(alpha, (len(theta), 1))
+        if len(some):
+            shares = b * (n / (np.einsum("ij,ij->i", theta[row], b) + TINY))[:, None]
+            gamma[some] += theta[some] * np.add.reduceat(shares, of[some], axis=0)
+    return gamma, row, some
 
 
 def folded_in(bags: DataFrame, topics: DataFrame, alpha: list[float], steps: int = STEPS, docs: DataFrame | None = None) -> DataFrame:
@@ -61,17 +80,25 @@ def folded_in(bags: DataFrame, topics: DataFrame, alpha: list[float], steps: int
     known = bags.join(topics, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"), "weights"))).alias("bag"))
     if docs is not None:
         known = docs.select(F.col("doc_id").alias("_d")).distinct().join(known, F.col("_d").eqNullSafe(F.col("doc_id")), "left").select(F.col("_d").alias("doc_id"), F.coalesce("bag", F.array().cast(known.schema["bag"].dataType)).alias("bag"))
-    k = len(alpha)
-    prior = F.array(*[F.lit(float(a)) for a in alpha])
+    k, prior = len(alpha), np.array(alpha, float)
+    given = known.select("doc_id", F.col("bag.n").alias("n"), F.flatten("bag.weights").alias("weights"))
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def step(gamma: Column, _: Column) -> Column:
-        theta = F.transform(gamma, lambda g: F.exp(digamma_column(g)))
-        shares = F.transform(F.col("bag"), lambda w: F.transform(F.zip_with(theta, w["weights"], lambda t, b: t * b), lambda x: F.struct(x.alias("x"), w["n"].alias("n"))))
-        each = F.transform(shares, lambda xs: F.transform(xs, lambda x: x["x"] * x["n"] / (_total(F.transform(xs, lambda y: y["x"])) + TINY)))
-        return F.aggregate(each, prior, lambda a, xs: F.zip_with(a, xs, lambda p, x: p + x))
+    schema = to_arrow_schema(given.select("doc_id", F.col("weights").alias("probabilities")).schema)
 
-    gamma = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array_repeat(F.lit(1.0), k), step)
-    out = known.select("doc_id", gamma.alias("_g")).select("doc_id", F.transform("_g", lambda g: g / _total(F.col("_g"))).alias("probabilities"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ns, weights = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "weights"))
+            of = np.append(0, np.cumsum(batch.column("n").value_lengths().to_numpy(zero_copy_only=False)))
+            gamma = np.ones((batch.num_rows, k))
+            for lo, hi in _parts(of):
+                part = slice(of[lo], of[hi])
+                gamma[lo:hi] = _mixtures(of[lo : hi + 1] - of[lo], ns[part].astype(float), weights.reshape(-1, k)[part].astype(float), gamma[lo:hi], prior, steps)[0]
+            made = gamma / gamma.sum(1, keepdims=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, k), pa.int32()), pa.array(made.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists.cast(schema.field("probabilities").type)], schema=schema)
+
+    out = given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, probabilities array<double>")
     return out.withColumn("dominant_topic", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
 
 
@@ -116,19 +143,19 @@ def _inferred(docs: DataFrame, log_beta, alpha: np.ndarray, steps: int) -> DataF
             of = np.append(0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))
             ids, ns = terms.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(float)
             made = gammas.flatten().to_numpy(zero_copy_only=False).reshape(-1, k).copy()
-            for d in range(batch.num_rows):
-                w, n, gamma = ids[of[d] : of[d + 1]], ns[of[d] : of[d + 1]], made[d]
-                b = beta[:, w]
-                for _ in range(steps):
-                    theta = np.exp(digamma(gamma))
-                    gamma = alpha + theta * (b @ (n / (theta @ b + TINY)))
-                made[d] = gamma
-                expected = digamma(gamma) - digamma(gamma.sum())
-                theta = np.exp(expected)
-                norm = theta @ b + TINY
-                stats[:, w] += theta[:, None] * b * (n / norm)
-                sums[0] += n @ np.log(norm) + ((alpha - gamma) @ expected + log_gamma(gamma).sum() - log_gamma(alpha).sum() + log_gamma(alpha.sum()) - log_gamma(gamma.sum()))
-                sums[2:] += expected
+            for lo, hi in _parts(of):
+                part = slice(of[lo], of[hi])
+                w, n, b = ids[part], ns[part], beta[:, ids[part]].T
+                gamma, row, _ = _mixtures(of[lo : hi + 1] - of[lo], n, b, made[lo:hi], alpha, steps)
+                made[lo:hi] = gamma
+                expected = digamma(gamma) - digamma(gamma.sum(1, keepdims=True))
+                each = np.exp(expected)[row] * b
+                norm = each.sum(1) + TINY
+                for i in range(k):
+                    stats[i] += np.bincount(w, each[:, i] * (n / norm), stats.shape[1])
+                own = ((alpha - gamma) * expected + log_gamma(gamma) - log_gamma(alpha)).sum() + (log_gamma(alpha.sum()) - log_gamma(gamma.sum(1))).sum()
+                sums[0] += n @ np.log(norm) + own
+                sums[2:] += expected.sum(0)
             n = batch.num_rows
             sums[1] += n
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(made.reshape(-1)))

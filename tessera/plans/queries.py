@@ -263,14 +263,20 @@ TOPIC_WEIGHTS, OTHER_WEIGHT = [0.4, 0.3, 0.2, 0.1], 0.01
 FOLD_ALPHA, FOLD_STEPS, PASSES, ETA = [0.5, 0.3, 0.2], 50, 3, 0.1
 
 
+def _topic_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term, n) of the topic words: the other tokens go before the rows are grouped."""
+    words = sorted({w for ws in TOPIC_WORDS.values() for w in ws})
+    toks = scoring.spread(_ascii(spark, sf_dir)).select("doc_id", F.explode(T.found(F.lower("text"), "[a-z]+")).alias("term"))
+    return topics.bag_of_words(toks.where(F.col("term").isin(words)), "term")
+
+
 def _topic_table() -> list[tuple[str, list[float]]]:
     return [(w, [TOPIC_WEIGHTS[i] if t == k else OTHER_WEIGHT for t in TOPIC_WORDS]) for k, ws in TOPIC_WORDS.items() for i, w in enumerate(ws)]
 
 
 def topic_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic mixtures of all documents against fixed topics; those without a topic word have the prior's."""
-    bags = topics.bag_of_words(_tokens(spark, sf_dir)).withColumnRenamed("token", "term")
-    out = variational.folded_in(bags, spark.createDataFrame(_topic_table(), "term string, weights array<double>"), FOLD_ALPHA, FOLD_STEPS, _docs(spark, sf_dir))
+    out = variational.folded_in(_topic_bags(spark, sf_dir), spark.createDataFrame(_topic_table(), "term string, weights array<double>"), FOLD_ALPHA, FOLD_STEPS, _docs(spark, sf_dir))
     return out.select("doc_id", "dominant_topic", *[F.round(F.col("probabilities")[i], 6).alias(f"p{i}") for i in range(len(FOLD_ALPHA))])
 
 
@@ -279,7 +285,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     from ..sources import sinks
 
     words = spark.createDataFrame([(i, w, x) for i, (w, x) in enumerate(_topic_table())], "term_id int, term string, weights array<double>")
-    bags = topics.bag_of_words(_tokens(spark, sf_dir)).join(F.broadcast(words), F.col("token") == F.col("term")).select("doc_id", "term_id", "n")  # a word or two for each topic
+    bags = _topic_bags(spark, sf_dir).join(F.broadcast(words), "term").select("doc_id", "term_id", "n")  # a few words for each topic
     path = sinks.scratch(spark, "passes")
     variational.train(variational.documents(bags, len(FOLD_ALPHA)), words.select("term_id", "weights"), path, PASSES, FOLD_ALPHA, ETA)
     return path, words

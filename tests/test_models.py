@@ -152,3 +152,30 @@ def test_dictionary_has_all_words(spark):
     made, model = topics.prepared(clean.where("clean_text is not null"), min_df=1, max_df=1.0, most=3)
     assert model.vocabulary == ["bb", "aa0", "aa1"]
     assert sorted(r["features"].toArray().tolist() for r in made.where("doc_id is null or doc_id = 0").collect()) == [[1, 0, 0], [2, 1, 0], [2, 1, 0]]
+
+
+def test_many_documents_at_once(spark, monkeypatch):
+    """Parts of a batch, documents without words and single ones have the mixtures of each document by itself; only topic words are grouped."""
+    monkeypatch.setattr(variational, "_WORDS", 5)
+    rng, sizes = np.random.default_rng(3), [0, 3, 0, 9, 1, 4, 0]
+    of, alpha = np.append(0, np.cumsum(sizes)), np.array([0.5, 0.3])
+    n, b = rng.integers(1, 5, of[-1]).astype(float), rng.random((of[-1], 2))
+    parts = list(variational._parts(of))
+    assert [lo for lo, _ in parts] == [0, *[hi for _, hi in parts[:-1]]] and parts[-1][1] == len(sizes) and len(parts) > 2
+    got, _, _ = variational._mixtures(of, n, b, np.ones((len(sizes), 2)), alpha, 20)
+    for d in range(len(sizes)):
+        g, w = np.ones(2), slice(of[d], of[d + 1])
+        for _ in range(20):
+            theta = np.exp(variational.digamma(g))
+            g = alpha + theta * ((n[w] / (b[w] @ theta)) @ b[w])
+        assert got[d] == pytest.approx(g)
+    bags = queries._topic_bags(spark, SF)
+    words = {w for ws in queries.TOPIC_WORDS.values() for w in ws}
+    every = topics.bag_of_words(queries._tokens(spark, SF)).withColumnRenamed("token", "term").where(F.col("term").isin(*words))
+    assert sorted(map(tuple, bags.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_lemma_pairs_are_made_once(spark):
+    """The texts aren't read again for each use of the pairs."""
+    plan = queries.lemma_suffix_rules(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan

@@ -179,3 +179,12 @@ def test_lemma_pairs_are_made_once(spark):
     """The texts aren't read again for each use of the pairs."""
     plan = queries.lemma_suffix_rules(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_zone_file_texts_read_each_file_once(spark, tmp_path):
+    for i, x in enumerate(['{"relevant_text": "a"}', '{"text": "b"}', '{"relev', '{"relevant_text": ""}']):
+        (tmp_path / f"{i}.json").write_text(x)
+    rows = readers.zone_file_texts(spark, str(tmp_path))
+    assert sorted((r["json_path"][-6], r["relevant_text"], r["reason"]) for r in rows.collect()) == [("0", "a", None), ("1", "", "no relevant_text"), ("2", "", "not JSON"), ("3", "", None)]
+    plan = queries.zone_file_errors(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and "Join" not in plan

@@ -54,3 +54,21 @@ def test_zones_of_pages_equal_those_of_the_table(spark, tmp_path):
             got = sorted(map(tuple, spark.read.schema(want.schema).parquet(str(tmp_path / "out")).select(columns).collect()))
     q.stop()
     assert got == expected != []
+
+
+def test_complete_documents_are_not_held():
+    """Pages that come together go on without being written to the state."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from tessera.streaming.landing import _Gather
+
+    g = _Gather(1, 1)
+    g.init(MagicMock())
+    g.pages, g.held, g.done = MagicMock(), MagicMock(), MagicMock()
+    g.done.exists.return_value, g.held.get.return_value = False, None
+    rows = pd.DataFrame({"page_no": [1, 0, 1], "n_pages": [2, 2, 2], "text": ["b", "a", "x"]})
+    (out,) = g.handleInputRows((7,), iter([rows]), MagicMock())
+    assert out.to_dict("records") == [{"doc_id": 7, "text": "a\nb", "n_pages": 2, "complete": True}]
+    assert not g.pages.method_calls and not g.held.update.called and g.done.update.called

@@ -16,6 +16,8 @@ from ..functions import vocab
 from .scoring import stored
 
 EPS = 1e-12
+#: Tokens of the documents that a task of a coherence measure looks at, more or less.
+_TOKENS = 2_000_000
 log = logging.getLogger(__name__)
 
 
@@ -124,12 +126,14 @@ def _covered(toks: DataFrame, words: DataFrame, window: int | None) -> tuple[Dat
     """((doc_id, term, spans), (total)): stretches (s, e) of starts of the windows in which a word occurs, (0, 0) for whole documents; total counts all windows.
 
     Only topic words are looked at. A document shorter than the window is one window. The windows of an
-    occurrence begin at its place or up to window - 1 before; touching stretches are one.
+    occurrence begin at its place or up to window - 1 before; touching stretches are one. Rows are dealt by doc_id to
+    as many partitions as there are _TOKENS of tokens, so that what a task sorts doesn't grow with the input.
     """
-    sizes = toks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    sizes = stored(toks.groupBy("doc_id").agg(F.count("*").alias("n")), "document-sizes")
     last = F.greatest(F.col("n") - (window or 0), F.lit(0)) if window else F.lit(0)
     total = sizes.agg(F.sum(last + 1).cast("double").alias("total"))
-    hits = toks.join(F.broadcast(words), toks["token"] == words["term"], "left_semi").join(sizes, "doc_id")  # words: a few for each topic
+    parts = -(-(sizes.agg(F.sum("n")).first()[0] or 0) // _TOKENS) + 1
+    hits = toks.join(F.broadcast(words), toks["token"] == words["term"], "left_semi").repartition(parts, "doc_id").join(sizes.repartition(parts, "doc_id").hint("merge"), "doc_id")  # words: a few for each topic
     low, high = (F.greatest(F.col("place") - (window - 1), F.lit(0)), F.least(F.col("place"), last)) if window else (F.lit(0), F.lit(0))
     hits = hits.select("doc_id", F.col("token").alias("term"), low.cast("long").alias("s"), high.cast("long").alias("e"))
     order = Window.partitionBy("doc_id", "term").orderBy("s", "e")
@@ -161,12 +165,14 @@ def pair_counts(toks: DataFrame, topics: DataFrame, window: int | None) -> DataF
     toks: (doc_id, place, token), place from 0 without gaps; topics: (topic_id, rank, term).
     """
     seen, total = _covered(toks, topics.select("term").distinct(), window)
-    single = seen.groupBy("term").agg(F.sum(_length(F.col("spans"))).cast("double").alias("n"))
     a, b = topics.select("topic_id", F.col("rank").alias("i"), F.col("term").alias("wi")), topics.select("topic_id", F.col("rank").alias("j"), F.col("term").alias("wj"))
     pairs = a.join(b, "topic_id")
     placed = seen.join(F.broadcast(topics.select("topic_id", "term").distinct()), "term")  # a few words for each topic
-    x, y = placed.select("doc_id", "topic_id", F.col("term").alias("wi"), F.col("spans").alias("si")), placed.select("doc_id", "topic_id", F.col("term").alias("wj"), F.col("spans").alias("sj"))
-    one_way = x.join(y, ["doc_id", "topic_id"]).where("wi <= wj").groupBy("topic_id", "wi", "wj").agg(F.sum(_overlap(F.col("si"), F.col("sj"))).cast("double").alias("nij"))
+    held = placed.groupBy("doc_id", "topic_id").agg(F.collect_list(F.struct("term", "spans")).alias("held"))  # a topic's words of a document
+    each = held.select("topic_id", "held", F.explode("held").alias("x")).select("topic_id", "x", F.explode(F.filter("held", lambda y: F.col("x.term") <= y["term"])).alias("y"))
+    counted = each.groupBy("topic_id", F.col("x.term").alias("wi"), F.col("y.term").alias("wj")).agg(F.sum(_overlap(F.col("x.spans"), F.col("y.spans"))).cast("double").alias("nij"))
+    one_way = stored(counted, "pair-counts")
+    single = one_way.where("wi = wj").groupBy(F.col("wi").alias("term")).agg(F.max("nij").alias("n"))  # a word's windows are those it shares with itself, in each of its topics
     both = one_way.union(one_way.where("wi <> wj").select("topic_id", F.col("wj").alias("wi"), F.col("wi").alias("wj"), "nij"))
     out = pairs.join(both, ["topic_id", "wi", "wj"], "left").join(single.select(F.col("term").alias("wi"), F.col("n").alias("ni")), "wi", "left").join(single.select(F.col("term").alias("wj"), F.col("n").alias("nj")), "wj", "left").crossJoin(F.broadcast(total))
     return out.na.fill(0.0, ["ni", "nj", "nij"])

@@ -192,6 +192,21 @@ def test_topic_measures(spark):
     assert (got["n_pairs"], got["mean"]) == (3, pytest.approx(1 / 3))
 
 
+def test_coherence_deals_documents_by_their_tokens(spark, monkeypatch):
+    """Partitions grow with the tokens, whatever the session's number is; counts are the same, with null and repeated ids, and texts aren't read again for them."""
+    docs = [(1, "a b c a"), (2, "a c d e f g"), (3, "b d"), (None, "a b"), (3, "a"), (4, "c")]
+    toks = spark.createDataFrame([(i, k, w) for i, d in docs for k, w in enumerate(d.split())], "doc_id int, place int, token string")
+    top = spark.createDataFrame([(0, i, w) for i, w in enumerate("abz")] + [(1, i, w) for i, w in enumerate("ca")], "topic_id int, rank int, term string")
+    read = lambda n: sorted(map(tuple, topics.pair_counts(toks, top, n).collect()))
+    before, whole = read(3), read(None)
+    monkeypatch.setattr(topics, "_TOKENS", 1)
+    seen, _ = topics._covered(toks, top.select("term").distinct(), 3)
+    assert "RepartitionByExpression [doc_id" in (plan := seen._jdf.queryExecution().optimizedPlan().toString()) and ", 17" in plan
+    assert read(3) == before and read(None) == whole and ("a", "a", 0, 0, 0, 3.0, 3.0, 3.0, 5.0) in whole
+    plan = topics.pair_counts(toks.where("rand() >= 0"), top, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rand(" not in plan
+
+
 def test_dictionary_limits(spark):
     rows = [(i, " ".join(w for w, n in (("four", 4), ("five", 5), ("eight", 8), ("nine", 9)) if i < n) + " gmbh") for i in range(10)]
     _, model = topics.prepared(spark.createDataFrame(rows, "doc_id int, clean_text string"))

@@ -79,7 +79,7 @@ def dictionary(rows: DataFrame, model: CountVectorizerModel) -> DataFrame:
 
 
 def fit(rows: DataFrame, k: int, alpha: str | float = "auto", seed: int = 0, max_iter: int = 50, cached: bool = False) -> LDAModel:
-    """Online LDA; alpha 'auto' learns the document concentration. Each of the max_iter iterations is a pass over all rows. cached: rows are held already."""
+    """Online LDA; alpha 'auto' learns the document concentration. Each of the max_iter iterations draws as many rows as there are, with replacement, as the library does. cached: rows are held already."""
     lda = LDA(k=k, optimizer="online", maxIter=max_iter, subsamplingRate=1.0, seed=seed, featuresCol="features", optimizeDocConcentration=alpha == "auto")
     lda = lda if alpha == "auto" else lda.setDocConcentration([float(alpha)])
     if cached:

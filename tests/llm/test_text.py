@@ -375,3 +375,33 @@ def test_chains_read_together_touch_on_both_sides():
     assert sorted(c for _, g in groups for c in g) == sorted(found)
     assert [(box, len(g)) for box, g in groups] == [((0, 0, 120, 120), 2), ((100, 5000, 120, 5020), 1), ((9000, 100, 9020, 120), 1)]
     assert passages._near([], 120) == []
+
+
+def test_seeds_of_repeated_words_are_thinned():
+    """Each window's least seed is kept by its hash, but a word that is repeated does not give a place at each word."""
+    rng = np.random.default_rng(3)
+    for case in range(200):
+        h = rng.integers(0, [2, 3, 50, 10**6][case % 4], rng.integers(14, 200)).astype(np.uint64)
+        kmers = passages.shingles(h, passages.SEED)
+        seeds, at = passages.minimizers(h)
+        view = np.lib.stride_tricks.sliding_window_view(kmers, passages.SEED_WINDOW)
+        assert set(seeds) == set(view.min(1)) and (kmers[at] == seeds).all()
+        assert (np.diff(at) <= passages.SEED_WINDOW).all() and at[0] < passages.SEED_WINDOW and at[-1] >= len(kmers) - passages.SEED_WINDOW
+    seeds, at = passages.minimizers(np.full(105, 7, np.uint64))
+    assert at.tolist() == [*range(0, 99, 7), 99]
+
+
+def test_straight_chains_are_aligned_as_others(spark):
+    """Rows of chains on one diagonal, counted at once, against align."""
+    r = random.Random(41)
+    fill = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    p = fill(120)
+    rows = {1: fill(20) + p + fill(20), 2: fill(7) + p[:60] + fill(1) + p[61:90] + fill(1) + p[91:] + fill(9), 3: p[:70]}
+    words = {k: np.array([hash(w) & 0xFFFFFFFF for w in v], np.uint32) for k, v in rows.items()}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["other_id"]): x for x in passages.repeated_passages(docs).collect()}
+    assert got.keys() >= {(2, 1), (3, 1)}
+    for (b, a), x in got.items():
+        at = next(i for i in range(x["start"], x["end"]) if rows[b][i : i + 6] == rows[a][i - x["start"] + x["other_start"] :][:6])
+        s, e, t, f, same, _, _ = passages.align(words[a], words[b], [(at - x["start"] + x["other_start"], at)])
+        assert (x["other_start"], x["other_end"], x["start"], x["end"]) == (s, e, t, f) and x["identity"] == pytest.approx(same)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -43,10 +47,20 @@ def prepared(clean: DataFrame, stop_words: list[str] = vocab.TOPIC_STOP_WORDS, m
 
 
 def _frequencies(toks: DataFrame) -> DataFrame:
-    """(word, n, df) of (doc_id, tokens): occurrences, and rows that hold the word; sorted tokens show a row's first ones."""
-    ordered = toks.select(F.sort_array("tokens").alias("t"))
-    marked = ordered.select(F.explode(F.arrays_zip(F.col("t"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("before"))).alias("x"))
-    return marked.where("x.t is not null").groupBy(F.col("x.t").alias("word")).agg(F.count("*").alias("n"), F.count_if(~F.col("x.t").eqNullSafe(F.col("x.before"))).alias("df"))
+    """(word, n, df) of (doc_id, tokens): occurrences, and rows that hold the word. A batch of rows is counted at once, so only its distinct words are shuffled."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            tokens = batch.column("tokens")
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            coded = tokens.flatten().dictionary_encode()
+            ids, v = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+            row, ids = row[ids >= 0], ids[ids >= 0]
+            held = np.unique(row * v + ids) % v if v else ids
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *[pa.array(np.bincount(x, minlength=v)) for x in (ids, held)]], names=["word", "n", "df"])
+
+    counted = toks.select("tokens").mapInArrow(run, "word string, n long, df long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def _limited(words: DataFrame, toks: DataFrame, min_df: float, max_df: float) -> DataFrame:

@@ -188,3 +188,11 @@ def test_zone_file_texts_read_each_file_once(spark, tmp_path):
     assert sorted((r["json_path"][-6], r["relevant_text"], r["reason"]) for r in rows.collect()) == [("0", "a", None), ("1", "", "no relevant_text"), ("2", "", "not JSON"), ("3", "", None)]
     plan = queries.zone_file_errors(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan json") == 1 and "Join" not in plan
+
+
+def test_word_counts_of_batches(spark):
+    """Occurrences and rows of a word, of null tokens and rows too."""
+    toks = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (2, None), (3, []), (4, [None, "b"])], "doc_id int, tokens array<string>").repartition(3)
+    assert sorted(map(tuple, topics._frequencies(toks).collect())) == [("a", 3, 2), ("b", 2, 2)]
+    plan = topics._frequencies(toks)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # occurrences aren't rows

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from . import passes
 from .scoring import stored
 
 EPS = 1e-12
@@ -264,13 +268,15 @@ def stability(topics: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("std"), F.count("*").alias("n_pairs"))
 
 
-def compute_stability(rows: DataFrame, dictionary_model: CountVectorizerModel, k: int, seeds: int, n: int = 10, alpha: str | float = "auto", max_iter: int = 50) -> DataFrame:
-    """stability of models of different seeds."""
-    all_topics = None
-    for seed in range(seeds):
-        t = top_terms(fit(rows, k, alpha, seed, max_iter), dictionary_model, n).withColumn("model", F.lit(seed)).select("model", "topic_id", "term")
-        all_topics = t if all_topics is None else all_topics.union(t)
-    return stability(all_topics) if all_topics is not None else stability(rows.sparkSession.createDataFrame([], "model int, topic_id int, term string"))
+def compute_stability(rows: DataFrame, dictionary_model: CountVectorizerModel, k: int, seeds: int, n: int = 10, alpha: str | float = "auto", max_iter: int = passes.PASSES, at_once: int = 4) -> DataFrame:
+    """stability of models of different seeds, fitted at_once over the same blocks of rows."""
+    spark = rows.sparkSession
+    if not seeds:
+        return stability(spark.createDataFrame([], "model int, topic_id int, term string"))
+    with passes.Corpus(rows, dictionary_model) as corpus, ThreadPoolExecutor(max(1, at_once)) as pool:
+        models = list(pool.map(inheritable_thread_target(spark)(lambda seed: corpus.fit(k, alpha, seed, max_iter)), range(seeds)))
+    terms = [passes.top_terms(m, spark, n).select(F.lit(seed).alias("model"), "topic_id", "term") for seed, m in enumerate(models)]
+    return stability(reduce(DataFrame.union, terms))
 
 
 def ranked_terms(toks: DataFrame, by: str, n: int) -> DataFrame:

@@ -49,11 +49,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - rise
 
 
-def _parts(of: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Documents lo to hi of a batch with some _WORDS words in all, one document at least; of: where each one's words begin, and the end."""
+def _parts(of: np.ndarray, words: int | None = None) -> Iterator[tuple[int, int]]:
+    """Documents lo to hi of a batch with some _WORDS (or words) words in all, one document at least; of: where each one's words begin, and the end."""
     lo = 0
     while lo < len(of) - 1:
-        hi = max(int(np.searchsorted(of, of[lo] + _WORDS, "right")) - 1, lo + 1)
+        hi = max(int(np.searchsorted(of, of[lo] + (words or _WORDS), "right")) - 1, lo + 1)
         yield lo, hi
         lo = hi
 

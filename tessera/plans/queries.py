@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import lexical, metadata, scoring, topics, variational
+from ..operators import lexical, metadata, passes, scoring, topics, variational
 from ..operators import zones as Z
 
 #: The tables hold invented words, so these stand in for a vocabulary and for lexicons.
@@ -238,19 +238,20 @@ def _corpus(spark: SparkSession, sf_dir: str):  # noqa: ANN202
     return topics.prepared(_clean(spark, sf_dir))
 
 
-def _lda(spark: SparkSession, sf_dir: str, seed: int = 1):  # noqa: ANN202
+def _lda(spark: SparkSession, sf_dir: str, seed: int = 1, mixtures: bool = False):  # noqa: ANN202
+    """(rows, mixtures of all documents if asked for, model)."""
     rows, words = _corpus(spark, sf_dir)
-    return rows, words, topics.fit(rows, 4, seed=seed)
+    with passes.Corpus(rows, words) as corpus:
+        model = corpus.fit(4, seed=seed)
+        return rows, corpus.mixtures(model) if mixtures else None, model
 
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words, model = _lda(spark, sf_dir)
-    return topics.top_terms(model, words, 10)
+    return passes.top_terms(_lda(spark, sf_dir)[2], spark, 10)
 
 
 def lda_doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, model = _lda(spark, sf_dir)
-    return topics.wide(topics.document_topics(model, rows), 4)
+    return topics.wide(_lda(spark, sf_dir, mixtures=True)[1], 4)
 
 
 def aligned_stability(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,61 @@ def test_zone_file_texts_read_each_file_once(spark, tmp_path):
     assert plan.count("FileScan json") == 1 and "Join" not in plan
 
 
+def test_passes_over_all_documents(spark):
+    """A fit is what plain passes make of all rows, whatever the blocks; documents without known words, null and repeated ids have rows of mixtures."""
+    from tessera.operators import passes
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc"] if i % 2 else ["xx", "yy", "zz", "cc"], 30)) for i in range(30)] + ["other"]
+    rows, words = topics.prepared(spark.createDataFrame([(None if i == 7 else i // 2, x) for i, x in enumerate(texts)], "doc_id int, clean_text string").repartition(3), [], min_df=2, max_df=1.0)
+    with passes.Corpus(rows, words) as corpus:
+        model = corpus.fit(2, seed=3, passes=12)
+        mixed = corpus.mixtures(model)
+        fixed = corpus.fit(2, alpha=0.4, seed=3, passes=12)
+    bags = [[(words.vocabulary.index(w), float(n)) for w, n in zip(*np.unique(x.split(), return_counts=True)) if w in words.vocabulary] for x in texts]
+    weights, gammas, alpha = np.random.default_rng(3).gamma(100.0, 0.01, (2, len(words.vocabulary))), [np.ones(2) for _ in bags], np.full(2, 0.4)
+    for _ in range(12):
+        beta = np.exp(variational.digamma(weights) - variational.digamma(weights.sum(1, keepdims=True)))
+        weights = np.full(weights.shape, 0.5)
+        for d, bag in enumerate(bags):
+            at, n = np.array([w for w, _ in bag], int), np.array([x for _, x in bag])
+            for _ in range(passes.ROUNDS if bag else 0):
+                theta = np.exp(variational.digamma(gammas[d]))
+                new = alpha + theta * (beta[:, at] * (n / (theta @ beta[:, at]))).sum(1)
+                moved, gammas[d] = np.abs(new - gammas[d]).mean(), new
+                if moved < passes.SETTLED:
+                    break
+            theta = np.exp(variational.digamma(gammas[d]))
+            for w, x in bag:
+                weights[:, w] += x * theta * beta[:, w] / (theta @ beta[:, w])
+    assert fixed.weights == pytest.approx(weights, rel=1e-6) and fixed.alpha.tolist() == [0.4, 0.4]
+    assert model.alpha.tolist() != [0.5, 0.5] and min(model.alpha) > 0
+    got = mixed.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(None if i == 7 else i // 2) for i in range(31))
+    assert all(sum(r["probabilities"]) == pytest.approx(1) for r in got)
+    assert {r["doc_id"]: r["probabilities"] for r in got}[15] == pytest.approx((model.alpha / model.alpha.sum()).tolist())
+    tops = [{r["term"] for r in passes.top_terms(model, spark, 3).where(f"topic_id = {t}").collect()} for t in range(2)]
+    assert any({"aa", "bb"} <= t and not t & {"xx", "yy", "zz"} for t in tops) and any(len(t & {"xx", "yy", "zz"}) >= 2 for t in tops)
+
+
+def test_blocks_do_not_show(spark, monkeypatch):
+    """Small groups and blocks give the mixtures of one whole group; a pass shuffles no blocks."""
+    from tessera.operators import passes
+
+    rows, words = queries._corpus(spark, SF)
+    found = []
+    for pairs, added, partition in ((1 << 14, 1 << 20, 1 << 22), (300, 900, 2000)):
+        for name, x in (("_PAIRS", pairs), ("_ADDED", added), ("_PARTITION", partition)):
+            monkeypatch.setattr(passes, name, x)
+        with passes.Corpus(rows, words) as corpus:
+            model = corpus.fit(3, seed=1, passes=3)
+            found.append({r["doc_id"]: r["probabilities"] for r in corpus.mixtures(model).collect()})
+            plan = passes._inferred(corpus.blocks, model.mixtures, model.weights, model.alpha)._jdf.queryExecution().executedPlan().toString()
+            assert plan.split("InMemoryRelation")[0].count("Exchange") == 0 and "ShuffledHashJoin" in plan and plan.count("ENSURE_REQUIREMENTS") == 1
+    assert found[0].keys() == found[1].keys() and len(found[0]) == rows.select("doc_id").distinct().count()
+    assert all(found[0][d] == pytest.approx(found[1][d], abs=1e-4) for d in found[0])
+
+
 def test_word_counts_of_batches(spark):
     """Occurrences and rows of a word, of null tokens and rows too."""
     toks = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (2, None), (3, []), (4, [None, "b"])], "doc_id int, tokens array<string>").repartition(3)
